@@ -42,16 +42,14 @@ def severity_chart(alerts: DataFrame) -> DataFrame:
 
 def dimension_counts(alerts: DataFrame) -> DataFrame:
     """Incident counts in total, by severity, by tactic and by address, in one pass. Batch or stream."""
-    rows = alerts.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("total").alias("dimension"), F.lit("all").alias("value")),
-                F.struct(F.lit("severity"), F.coalesce("severity", F.lit("LOW"))),
-                F.struct(F.lit("tactic"), F.coalesce("mitre_tactic", F.lit("Unknown"))),
-                F.struct(F.lit("ip"), C.or_unknown(F.col("ip"))),
-            )
-        ).alias("d")
-    )
+    values = {
+        "total": F.lit("all"),
+        "severity": F.coalesce("severity", F.lit("LOW")),
+        "tactic": F.coalesce("mitre_tactic", F.lit("Unknown")),
+        "ip": C.or_unknown(F.col("ip")),
+    }
+    pairs = [F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in values.items()]
+    rows = alerts.select(F.explode(F.array(*pairs)).alias("d"))
     return rows.groupBy("d.dimension", "d.value").agg(F.count(F.lit(1)).alias("incidents"))
 
 

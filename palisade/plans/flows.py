@@ -7,7 +7,7 @@ from palisade import fixed
 from palisade.functions import columns as C
 from palisade.operators import metrics, prep, sequences
 from palisade.plans.registry import query
-from palisade.plans.sql import BASIC, KEY, RICH, SHOWN_KEY, flows, windows
+from palisade.plans.sql import BASIC, KEY, RICH, SHOWN_KEY, flows, near, windows
 from palisade.sources.adapters import FLOW_KEY, network_flows
 
 FEATURES = fixed.FLOW_FEATURES
@@ -19,16 +19,14 @@ def shown_key() -> list:
     return [F.col("l_shipdate").cast("date").cast("string").alias("ship_day"), *FLOW_KEY[1:]]
 
 
-def _sql_features(digits: int | None = None) -> str:
-    if digits is None:
-        return ", ".join(f'"{c}" AS {s}' for c, s in zip(FEATURES, SHORT))
-    return ", ".join(f'round("{c}", {digits}) AS {s}' for c, s in zip(FEATURES, SHORT))
+def _sql_features() -> str:
+    return ", ".join(f'"{c}" AS {s}' for c, s in zip(FEATURES, SHORT))
 
 
 def _features(digits: int | None = None) -> list:
     if digits is None:
         return [F.col(f"`{c}`").alias(s) for c, s in zip(FEATURES, SHORT)]
-    return [F.round(F.col(f"`{c}`"), digits).alias(s) for c, s in zip(FEATURES, SHORT)]
+    return [(F.floor(F.col(f"`{c}`") * 10**digits + 0.5) / 10**digits).alias(s) for c, s in zip(FEATURES, SHORT)]
 
 
 def _stat(template: str) -> str:
@@ -80,12 +78,12 @@ def severity_dataset(spark, sf_dir) -> DataFrame:
 
 @query(
     "median_impute",
-    flows(f"""SELECT {SHOWN_KEY}, {_stat("round(coalesce({c}, m_{s}), 6) AS {s}")} FROM labelled,
+    flows(f"""SELECT {SHOWN_KEY}, {_stat(near("coalesce({c}, m_{s})", 4) + " AS {s}")} FROM labelled,
               (SELECT {_stat("quantile_cont({c}, 0.5) AS m_{s}")} FROM labelled) m"""),
 )
 def median_impute(spark, sf_dir) -> DataFrame:
     rows = prep.drop_null_labels(prep.infinite_to_null(network_flows(spark, sf_dir), FEATURES))
-    return prep.impute(rows, prep.medians(rows, FEATURES)).select(*shown_key(), *_features(6))
+    return prep.impute(rows, prep.medians(rows, FEATURES)).select(*shown_key(), *_features(4))
 
 
 @query(
@@ -133,22 +131,22 @@ def max_norm(spark, sf_dir) -> DataFrame:
 # --- labels and files -------------------------------------------------------------------------------------------------
 
 
-@query("label_mapping", flows("SELECT label, code FROM mapping"))
+@query("label_mapping", flows('SELECT class AS label, code FROM mapping'))
 def label_mapping(spark, sf_dir) -> DataFrame:
     return prep.label_mapping(network_flows(spark, sf_dir))
 
 
 @query(
     "label_mapping_first",
-    flows(f"""SELECT label, CAST(row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber)-1 AS INT) AS code
-              FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rn
-               FROM (SELECT *, coalesce(trim("Label"),'nan') AS label FROM flows) a) t WHERE rn=1"""),
+    flows(f"""SELECT lab AS label, CAST(row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber)-1 AS INT) AS code
+              FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY {KEY}) AS rn
+               FROM (SELECT *, coalesce(trim("Label"),'nan') AS lab FROM flows) a) t WHERE rn=1"""),
 )
 def label_mapping_first(spark, sf_dir) -> DataFrame:
     return prep.label_mapping_first(network_flows(spark, sf_dir), FLOW_KEY)
 
 
-@query("label_encode", flows(f'SELECT {SHOWN_KEY}, "Label" AS label, code FROM labelled JOIN mapping ON label="Label"'))
+@query("label_encode", flows(f'SELECT {SHOWN_KEY}, "Label" AS label, code FROM labelled JOIN mapping ON class="Label"'))
 def label_encode(spark, sf_dir) -> DataFrame:
     rows = prep.drop_null_labels(network_flows(spark, sf_dir))
     coded = prep.encode(rows, prep.label_mapping(rows))
@@ -156,7 +154,7 @@ def label_encode(spark, sf_dir) -> DataFrame:
 
 
 @query("one_hot", flows(f"""SELECT {SHOWN_KEY}, code, repeat('0',code)||'1'||repeat('0',(SELECT count(*)::INT FROM mapping)-1-code) AS hot
-                            FROM labelled JOIN mapping ON label="Label" """))
+                            FROM labelled JOIN mapping ON class="Label" """))
 def one_hot(spark, sf_dir) -> DataFrame:
     rows = prep.drop_null_labels(network_flows(spark, sf_dir))
     mapping = prep.label_mapping(rows)

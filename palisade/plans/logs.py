@@ -241,7 +241,7 @@ def next_event_predictions(spark, sf_dir) -> DataFrame:
     return P.predict(rows, P.fit(rows)).select("log_id", "predicted_next_attack", "confidence", "context_length")
 
 
-_EVAL = """
+_EVAL_TABLES = """
 parts AS (SELECT *, substr(md5(concat_ws('|', log_id, '42')),1,8) < '33333333' AS is_test FROM hist),
 t_trans AS (
  SELECT length, context, next_event, count(*) AS n FROM (
@@ -262,13 +262,15 @@ t_rows AS (
  LEFT JOIN t_prob b0 ON b0.place=1 AND b0.length=0
  WHERE is_test AND rn>1
 )
-SELECT count(*) AS samples, round(avg(CASE WHEN e1=guess THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS accuracy,
+"""
+
+_EVAL = """SELECT count(*) AS samples, round(avg(CASE WHEN e1=guess THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) AS accuracy,
  round(-avg(ln(greatest(coalesce(t.probability,0),1e-7::DOUBLE))),6) AS log_loss
 FROM t_rows r LEFT JOIN t_prob t ON t.length=r.length AND t.context=r.context AND t.next_event=r.e1
 """
 
 
-@query("predictor_eval", logs("SELECT 1").replace("SELECT 1", "").rstrip() + "," + _EVAL)
+@query("predictor_eval", logs(_EVAL, _EVAL_TABLES))
 def predictor_eval(spark, sf_dir) -> DataFrame:
     from palisade.operators.prep import hash_split
 
@@ -290,7 +292,7 @@ def mitre_enrich(spark, sf_dir) -> DataFrame:
 
 @query(
     "mitre_fuzzy",
-    logs("""SELECT log_id, ev AS event, k.technique, k.confidence FROM det d JOIN first_keyword f ON f.ev=d.ev
+    logs("""SELECT log_id, ev AS event, k.technique, k.confidence FROM det d JOIN first_keyword f ON f.kev=d.ev
             JOIN keywords k ON k.prio=f.prio"""),
 )
 def mitre_fuzzy(spark, sf_dir) -> DataFrame:

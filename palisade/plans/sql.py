@@ -95,7 +95,7 @@ codes AS (SELECT name, CAST(code AS INT) AS code FROM ({values(fixed.LABEL_CODES
 flow_defaults AS ({values([(e, *map(float, v)) for e, v in fixed.EVENT_FLOW_DEFAULTS], "event, f1, f2, f3, f4, f5, f6, f7, f8, f9, f10")}),
 vectors AS ({values([(e, *map(float, v)) for e, v in fixed.EVENT_VECTORS], "event, v1, v2, v3, v4, v5, v6")}),
 first_keyword AS (
- SELECT ev, min(prio) AS prio FROM (SELECT DISTINCT ev FROM det) d JOIN keywords ON contains(lower(ev), keyword) GROUP BY ev
+ SELECT ev AS kev, min(prio) AS prio FROM (SELECT DISTINCT ev FROM det) d JOIN keywords ON contains(lower(ev), keyword) GROUP BY ev
 ),
 """
 
@@ -143,7 +143,7 @@ enr AS (
   CASE WHEN t.name IS NOT NULL THEN 'exact' WHEN p.name IS NOT NULL THEN 'predicted'
        WHEN k.prio IS NOT NULL THEN 'fuzzy' ELSE 'unknown' END AS match_kind
  FROM inv i LEFT JOIN techniques t ON t.name=i.ev LEFT JOIN techniques p ON p.name=i.predicted_next_attack
- LEFT JOIN first_keyword f ON f.ev=i.ev LEFT JOIN keywords k ON k.prio=f.prio
+ LEFT JOIN first_keyword f ON f.kev=i.ev LEFT JOIN keywords k ON k.prio=f.prio
 ),
 rule_enr AS (
  SELECT d.*, {RULE_TEXT} AS investigation,
@@ -155,7 +155,7 @@ rule_enr AS (
   CASE WHEN t.name IS NOT NULL THEN t.action WHEN k.prio IS NOT NULL THEN k.action
        ELSE {text(fixed.UNKNOWN_TECHNIQUE[3])} END AS recommended_action
  FROM det d LEFT JOIN techniques t ON t.name=d.ev
- LEFT JOIN first_keyword f ON f.ev=d.ev LEFT JOIN keywords k ON k.prio=f.prio
+ LEFT JOIN first_keyword f ON f.kev=d.ev LEFT JOIN keywords k ON k.prio=f.prio
 ),
 acts AS (
  SELECT log_id, severity, 0 AS action_no, 'BLOCK_IP' AS action, addr AS target,
@@ -174,9 +174,9 @@ acts AS (
 """
 
 
-def logs(select: str) -> str:
-    """A SELECT over the log tables."""
-    return f"WITH {_LOGS.strip()} {_KB.strip()} {_CHAIN.strip()} {select}"
+def logs(select: str, more: str = "") -> str:
+    """A SELECT over the log tables; `more` adds tables of its own."""
+    return f"WITH {_LOGS.strip()} {_KB.strip()} {_CHAIN.strip()} {', ' + more if more else ''} {select}"
 
 
 _FEATURES = ", ".join(f'"{c}"' for c in fixed.FLOW_FEATURES)
@@ -204,6 +204,11 @@ flows AS (
 """
 
 
+def near(value: str, digits: int) -> str:
+    """Rounding by plain arithmetic, the same in both engines also on ties."""
+    return f"floor({value}*1e{digits}+0.5::DOUBLE)/1e{digits}"
+
+
 def _no_infinity(column: str) -> str:
     return f"CASE WHEN isinf(\"{column}\") THEN NULL ELSE \"{column}\" END AS \"{column}\""
 
@@ -231,7 +236,7 @@ RICH = severity_of('trim("Label")', ["DDoS", "DoS", "Bot", "Heartbleed"])
 _PREP = f"""
 nulled AS (SELECT * REPLACE ({", ".join(_no_infinity(c) for c in fixed.FLOW_FEATURES)}) FROM flows),
 labelled AS (SELECT * FROM nulled WHERE "Label" IS NOT NULL),
-mapping AS (SELECT "Label" AS label, CAST(row_number() OVER (ORDER BY "Label")-1 AS INT) AS code
+mapping AS (SELECT "Label" AS class, CAST(row_number() OVER (ORDER BY "Label")-1 AS INT) AS code
             FROM (SELECT DISTINCT "Label" FROM labelled) t),
 zeroed AS (
  SELECT * REPLACE ({", ".join(_zero_infinity(c) for c in fixed.FLOW_FEATURES)}) FROM flows
@@ -240,14 +245,14 @@ seq_rows AS (
  SELECT * REPLACE (trim("Label") AS "Label") FROM zeroed
  WHERE "Label" IS NOT NULL AND "Flow Packets/s" IS NOT NULL AND "Flow Bytes/s" IS NOT NULL
 ),
-seq_codes AS (SELECT "Label" AS label, CAST(row_number() OVER (ORDER BY "Label")-1 AS INT) AS code
+seq_codes AS (SELECT "Label" AS class, CAST(row_number() OVER (ORDER BY "Label")-1 AS INT) AS code
               FROM (SELECT DISTINCT "Label" FROM seq_rows) t),
 encoded AS (
  SELECT r.*, c.code AS attack_encoded,
   CASE {RICH} WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS severity_encoded,
   "Flow Packets/s"/((SELECT max("Flow Packets/s") FROM seq_rows)+1) AS anomaly_score,
   row_number() OVER (PARTITION BY "Label" ORDER BY {KEY})-1 AS attack_frequency
- FROM seq_rows r JOIN seq_codes c ON c.label=r."Label"
+ FROM seq_rows r JOIN seq_codes c ON c.class=r."Label"
 ),
 texts AS (
  SELECT *, concat_ws(',', attack_encoded, severity_encoded, CAST(floor(anomaly_score*1000000+0.5) AS BIGINT),

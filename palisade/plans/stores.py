@@ -157,7 +157,7 @@ def summary_snapshot(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(path).drop("last_updated")
 
 
-@query("mapping_files", flows("SELECT label, code FROM mapping"))
+@query("mapping_files", flows("SELECT class AS label, code FROM mapping"))
 def mapping_files(spark, sf_dir) -> DataFrame:
     path = new_path(spark, "mapping")
     files.write_mapping(prep.label_mapping(network_flows(spark, sf_dir)), path)

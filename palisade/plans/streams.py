@@ -86,10 +86,12 @@ def stream_summary(spark, sf_dir) -> DataFrame:
 
 @query(
     "stream_alert_rate",
-    logs(f"""SELECT ({_MICROS}//600000000)*600 AS window_start, CASE WHEN event IN ('malware_detected','privilege_escalation','unauthorized_access') THEN 'HIGH'
-            WHEN event IN ('port_scan','ddos_attempt') THEN 'MEDIUM' ELSE 'LOW' END AS severity, count(*) AS alerts
-            FROM soc_logs GROUP BY ALL
-            HAVING ({_MICROS}//600000000)*600 + 600 <= (SELECT (max({_MICROS}) - 600000000)//1000000 FROM soc_logs)"""),
+    logs(f"""SELECT window_start, severity, count(*) AS alerts FROM (
+             SELECT ({_MICROS}//600000000)*600 AS window_start, CASE
+              WHEN event IN ('malware_detected','privilege_escalation','unauthorized_access') THEN 'HIGH'
+              WHEN event IN ('port_scan','ddos_attempt') THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM soc_logs) t
+             WHERE window_start + 600 <= (SELECT (max({_MICROS}) - 600000000)//1000000 FROM soc_logs)
+             GROUP BY window_start, severity"""),
 )
 def stream_alert_rate(spark, sf_dir) -> DataFrame:
     """Windowed alert counts in append mode: the windows the watermark (10 minutes behind) has closed."""

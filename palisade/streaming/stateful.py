@@ -35,14 +35,16 @@ class AddressHistory(StatefulProcessor):
     admits per trigger. Across micro-batches the order is that of arrival.
     """
 
-    def __init__(self, recent: int, silence: float, ttl_ms: int | None):
-        self.recent, self.silence, self.ttl_ms = recent, silence, ttl_ms
+    def __init__(self, columns: list[str], recent: int, silence: float, ttl_ms: int | None):
+        self.columns, self.recent, self.silence, self.ttl_ms = columns, recent, silence, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("history", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "log_id"], ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch.columns = self.columns  # names that are no Python identifiers arrive as positions
+        batch = batch.sort_values(["timestamp", "log_id"], ignore_index=True)
         failed, frequency, last_seen, recent = self.state.get() if self.state.exists() else (0, 0, None, [])
         events = batch["event"].fillna("unknown").tolist()
 
@@ -85,7 +87,8 @@ def stream_history(
     rows = with_address(logs)
     schema = T.StructType([*rows.schema.fields, *_ADDED])
     mode = "ProcessingTime" if ttl_ms else "None"
-    return rows.groupBy(KEY).transformWithStateInPandas(AddressHistory(recent, silence, ttl_ms), schema, "Append", mode)
+    processor = AddressHistory(rows.columns, recent, silence, ttl_ms)
+    return rows.groupBy(KEY).transformWithStateInPandas(processor, schema, "Append", mode)
 
 
 def prepare_session(spark) -> None:
