@@ -30,9 +30,10 @@ def average_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _subsamples(df: DataFrame, key: list[str], columns: list[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """Rows (tree, x) with exactly min(sample, rows) rows per tree, drawn by hash."""
-    total = df.count()
+def _subsamples(
+    df: DataFrame, total: int, key: list[str], columns: list[str], trees: int, sample: int, seed: int
+) -> DataFrame:
+    """Rows (tree, rank, x): for every tree somewhat more than `sample` of the `total` rows, drawn by hash."""
     share = min(1.0, _OVERSAMPLE * sample / max(total, 1))  # chance of a row to be offered to one tree
     offers = share * trees
     h = F.xxhash64(*key, F.lit(seed))
@@ -83,10 +84,16 @@ def _grow(sample: int, seed: int):
 
 
 def grow_forest(
-    df: DataFrame, key: list[str], columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
+    df: DataFrame,
+    total: int,
+    key: list[str],
+    columns: list[str],
+    trees: int = TREES,
+    sample: int = SAMPLE,
+    seed: int = SEED,
 ) -> DataFrame:
-    """The node table of the forest."""
-    drawn = _subsamples(df, key, columns, trees, sample, seed)
+    """The node table of a forest over `total` complete rows."""
+    drawn = _subsamples(df, total, key, columns, trees, sample, seed)
     return drawn.groupBy("tree").applyInPandas(_grow(sample, seed), _NODE)
 
 
@@ -183,8 +190,9 @@ def fit(
     medians = prep.medians(clean, columns)
     filled = prep.impute(clean, medians)
     scaler = prep.scaler(filled, columns)
-    nodes = materialize(grow_forest(prep.scale(filled, scaler), key, columns, trees, sample, seed), "forest")
-    forest = Forest(columns, medians, scaler, nodes, min(sample, df.count()))
+    total = clean.count()
+    nodes = materialize(grow_forest(prep.scale(filled, scaler), total, key, columns, trees, sample, seed), "forest")
+    forest = Forest(columns, medians, scaler, nodes, min(sample, total))
     scores = materialize(forest.score(df.select(*columns)).select("anomaly_score"), "scores")
     forest.threshold = exact_quantiles(scores, ["anomaly_score"], contamination)["anomaly_score"]
     return forest

@@ -231,20 +231,20 @@ def _window_text(seq) -> F.Column:
 
 @query("sequence_dataset", flows(windows("PARTITION BY file_id")))
 def sequence_dataset(spark, sf_dir) -> DataFrame:
-    made = sequences.windows(sequences.encoded_flows(network_flows(spark, sf_dir)))
+    made, _ = sequences.dataset(network_flows(spark, sf_dir))
     return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
 
 
 @query("sequence_dataset_global", flows(windows("")))
 def sequence_dataset_global(spark, sf_dir) -> DataFrame:
-    made = sequences.windows(sequences.encoded_flows(network_flows(spark, sf_dir)), scope="global")
+    made, _ = sequences.dataset(network_flows(spark, sf_dir), scope="global")
     return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
 
 
 @query("sequence_dataset_sliced", flows(windows("PARTITION BY file_id")))
 def sequence_dataset_sliced(spark, sf_dir) -> DataFrame:
     """The windows per file with every label and every file treated as hot."""
-    made = sequences.windows(sequences.encoded_flows(network_flows(spark, sf_dir), limit=0), limit=0)
+    made, _ = sequences.dataset(network_flows(spark, sf_dir), limit=0)
     return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
 
 
@@ -255,9 +255,7 @@ def sequence_dataset_sliced(spark, sf_dir) -> DataFrame:
               FROM ({windows("PARTITION BY file_id")}) w"""),
 )
 def sequence_metadata(spark, sf_dir) -> DataFrame:
-    encoded = sequences.encoded_flows(network_flows(spark, sf_dir))
-    classes = encoded.select("attack_encoded").distinct().count()
-    return sequences.metadata(sequences.windows(encoded), classes)
+    return sequences.metadata(*sequences.dataset(network_flows(spark, sf_dir)))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------

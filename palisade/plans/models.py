@@ -10,7 +10,7 @@ from palisade.operators.detect import detect, flow_vectors, with_history
 from palisade.operators.investigate import sequence_features
 from palisade.operators import predict as P
 from palisade.plans.registry import query
-from palisade.session import new_path
+from palisade.session import materialize, new_path
 from palisade.sources.adapters import FLOW_KEY, network_flows, soc_logs
 
 FEATURES = fixed.FLOW_FEATURES
@@ -88,9 +88,8 @@ def alert_severity_classifier(spark, sf_dir) -> DataFrame:
 @query("next_class_perceptron")
 def next_class_perceptron(spark, sf_dir) -> DataFrame:
     """Accuracy of the perceptron on windows of flows: the next row's class on the hash test part."""
-    encoded = sequences.encoded_flows(network_flows(spark, sf_dir))
-    classes = encoded.select("attack_encoded").distinct().count()
-    rows = prep.hash_split(sequences.windows(encoded), FLOW_KEY)
+    made, classes = sequences.dataset(network_flows(spark, sf_dir))
+    rows = materialize(prep.hash_split(made, FLOW_KEY), "windows")  # the fit goes over them many times
     model = models.fit_next_class(rows.filter("part = 'train'"), classes, rounds=20)
     scored = model.transform(models.flattened(rows.filter("part = 'test'")))
     right = (F.col("prediction") == F.col("label")).cast("double")
