@@ -57,14 +57,11 @@ def predict(recent: DataFrame, model: DataFrame, context: int = CONTEXT) -> Data
     seq, n = F.col("recent_events"), F.size("recent_events")
     rows, tiers = recent, []
     for k in range(context, -1, -1):
-        tier = best.filter(F.col("length") == k).select(
-            F.col("context").alias(f"_c{k}"),
-            F.struct(
-                F.col("next_event").alias("event"), F.col("probability"), F.col("length")
-            ).alias(f"_p{k}"),
-        )
+        entry = F.struct(F.col("next_event").alias("event"), "probability", "length")
+        tier = best.filter(F.col("length") == k).select(F.col("context").alias(f"_c{k}"), entry.alias(f"_p{k}"))
         rows = rows.withColumn(f"_c{k}", F.when(n >= k, F.slice(seq, n - k + 1, F.lit(k))))
-        rows = rows.join(tier, f"_c{k}", "left")
+        # without context there is one best event, and every row shares the key: never a shuffle
+        rows = rows.join(F.broadcast(tier) if k == 0 else tier, f"_c{k}", "left")
         tiers.append(F.col(f"_p{k}"))
     rows = rows.withColumn("_p", F.coalesce(*tiers))
     return rows.withColumns(
@@ -77,31 +74,39 @@ def predict(recent: DataFrame, model: DataFrame, context: int = CONTEXT) -> Data
     ).drop("_p", *[f"_{x}{k}" for x in "cp" for k in range(context + 1)])
 
 
+def _last(events, k):
+    """The last k entries of an array, in order."""
+    return F.reverse(F.slice(F.reverse(events), F.lit(1), k))
+
+
 def evaluate(recent: DataFrame, model: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """Accuracy and log loss of predicting each row's event from the events before it; one row."""
+    """Accuracy and log loss of predicting each row's event from the events before it; one row.
+
+    Rows with the same history and outcome are counted together first, so the joins see distinct histories only.
+    """
     seq, n = F.col("recent_events"), F.size("recent_events")
-    rows = recent.filter(n > 1).select(
-        F.element_at(seq, -1).alias("actual"), F.slice(seq, 1, n - 1).alias("recent_events")
-    )
-    # rows with the same history and outcome are scored once
-    rows = rows.withColumn(
-        "recent_events", F.reverse(F.slice(F.reverse("recent_events"), 1, context))
-    ).groupBy("actual", "recent_events").agg(F.count(F.lit(1)).alias("rows"))
-    scored = predict(rows, model, context)
-    scored = scored.withColumn(
-        "_context", F.when(F.col("context_length") > 0, F.reverse(F.slice(F.reverse("recent_events"), 1, F.greatest("context_length", F.lit(1))))).otherwise(F.array().cast("array<string>"))
+    cases = (
+        recent.filter(n > 1)
+        .select(
+            F.element_at(seq, -1).alias("actual"),
+            _last(F.slice(seq, F.lit(1), n - 1), F.lit(context)).alias("recent_events"),
+        )
+        .groupBy("actual", "recent_events")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    right = model.select(
+    scored = predict(cases, model, context).withColumn("used", _last(seq, F.col("context_length")))
+    truth = model.select(
         F.col("length").alias("context_length"),
-        F.col("context").alias("_context"),
+        F.col("context").alias("used"),
         F.col("next_event").alias("actual"),
-        F.col("probability").alias("_p"),
+        F.col("probability").alias("p"),
     )
-    scored = scored.join(right, ["context_length", "_context", "actual"], "left")
-    p = F.greatest(F.coalesce("_p", F.lit(0.0)), F.lit(FLOOR))
-    weight = F.col("rows")
+    scored = scored.join(truth, ["context_length", "used", "actual"], "left")
+    rows = F.col("rows")
+    loss = -F.log(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(FLOOR)))
+    right = F.when(F.col("actual") == F.col("predicted_next_attack"), rows).otherwise(0)
     return scored.agg(
-        F.sum(weight).alias("samples"),
-        F.round(F.sum(F.when(F.col("actual") == F.col("predicted_next_attack"), weight).otherwise(0)) / F.sum(weight), 6).alias("accuracy"),
-        F.round(-F.sum(F.log(p) * weight) / F.sum(weight), 6).alias("log_loss"),
+        F.sum(rows).alias("samples"),
+        F.round(F.sum(right) / F.sum(rows), 6).alias("accuracy"),
+        F.round(F.sum(loss * rows) / F.sum(rows), 6).alias("log_loss"),
     )
