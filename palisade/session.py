@@ -1,5 +1,6 @@
 """Session helpers: where durable intermediate tables live, and small in-plan tables."""
 
+import math
 import tempfile
 import uuid
 
@@ -52,6 +53,8 @@ def _literal(value, field: T.DataType) -> str:
         text = "array(" + ", ".join(_literal(v, field.elementType) for v in value) + ")"
     elif isinstance(value, str):
         text = "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    elif isinstance(value, float) and not math.isfinite(value):
+        text = f"'{value}'"
     else:
         text = repr(value)
     return f"CAST({text} AS {field.simpleString()})"
