@@ -10,6 +10,7 @@ from palisade.operators.detect import detect
 from palisade.operators.intel import enrich
 from palisade.operators.investigate import investigate
 from palisade.operators.respond import action_log, reports, respond
+from palisade.session import new_path
 from palisade.sources import files
 from palisade.streaming.stateful import stream_history
 
@@ -41,14 +42,17 @@ def store_alerts(alerts: DataFrame, table: str, checkpoint: str, outputs: str |
     are written to a folder of their batch number.
     """
 
+    staging = new_path(alerts.sparkSession, "micro-batch")
+
     def write(batch: DataFrame, number: int) -> None:
-        # the batch feeds several outputs; a written copy spares computing the stateful part for each
-        batch = batch.persist() if outputs else batch
-        files.append_alerts(batch, table, "remediated")
+        # evaluate the stateful part once per micro-batch: everything below reads the written rows
+        path = f"{staging}/{number % 2}"
+        batch.write.mode("overwrite").parquet(path)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(path)
+        files.append_alerts(rows, table, "remediated")
         if outputs:
-            action_log(batch).write.mode("overwrite").json(f"{outputs}/actions/batch={number}")
-            files.write_reports(reports(batch), f"{outputs}/reports/batch={number}")
-            batch.unpersist()
+            action_log(rows).write.mode("overwrite").json(f"{outputs}/actions/batch={number}")
+            files.write_reports(reports(rows), f"{outputs}/reports/batch={number}")
 
     writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(**trigger) if trigger else writer).start()
