@@ -83,7 +83,11 @@ def stream_history(
     silence: float = fixed.FREQUENCY_TTL_SECONDS,
     ttl_ms: int | None = None,
 ) -> DataFrame:
-    """failed_login_count, attack_frequency and recent_events on a stream of logs; `ttl_ms` forgets idle addresses."""
+    """failed_login_count, attack_frequency and recent_events on a stream of logs.
+
+    `ttl_ms` forgets addresses that stay idle so long. It is for queries that keep running: with it Spark plans one more
+    batch as long as state could expire, so an availableNow run would not end.
+    """
     rows = with_address(logs)
     schema = T.StructType([*rows.schema.fields, *_ADDED])
     mode = "ProcessingTime" if ttl_ms else "None"
