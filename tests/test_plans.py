@@ -12,7 +12,11 @@ from palisade.plans import ORACLE, QUERIES
 from palisade.sources.adapters import FLOW_KEY, network_flows, soc_logs
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+# The other stream queries replay for half a minute each; `python tests/compare.py` runs them, test_streams.py their jobs.
+CHECKED = sorted(n for n in ORACLE if not n.startswith("stream_") or n == "stream_history")
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_agrees_with_sql(spark, sf, name):
     assert difference(QUERIES[name](spark, sf), sf, ORACLE[name]) is None
 
