@@ -7,7 +7,9 @@ from palisade import fixed
 from palisade.functions import columns as C
 from palisade.operators import predict as P
 from palisade.operators.detect import KEY
+from palisade.operators.ordered import in_order
 from palisade.session import inline_table
+from palisade.sources.adapters import LOG_ORDER
 
 
 def event_vector(event: Column, width: int = len(fixed.SEQUENCE_FEATURES)) -> Column:
@@ -83,6 +85,15 @@ def sequence_features(alerts: DataFrame, codes: DataFrame | None = None) -> Data
     ).drop("code")
 
 
+def with_global_recent(alerts: DataFrame, length: int = fixed.SEQUENCE_LENGTH) -> DataFrame:
+    """recent_events over the one order of all addresses together, instead of per address. For batches only."""
+
+    def steps(rows, windows):
+        return windows.trailing(rows, "recent_events", F.coalesce("event", F.lit("unknown")), length)
+
+    return in_order(alerts, LOG_ORDER, steps)
+
+
 def sequence_alerts(alerts: DataFrame, model: DataFrame, length: int = fixed.SEQUENCE_LENGTH) -> DataFrame:
     """Correlation records of addresses whose window is full."""
     full = alerts.filter(F.size("recent_events") == length)

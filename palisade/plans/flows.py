@@ -23,7 +23,7 @@ def _sql_features() -> str:
     return ", ".join(f'"{c}" AS {s}' for c, s in zip(FEATURES, SHORT))
 
 
-def _features(digits: int | None = None) -> list:
+def rounded_features(digits: int | None = None) -> list:
     if digits is None:
         return [F.col(f"`{c}`").alias(s) for c, s in zip(FEATURES, SHORT)]
     return [(F.floor(F.col(f"`{c}`") * 10**digits + 0.5) / 10**digits).alias(s) for c, s in zip(FEATURES, SHORT)]
@@ -35,12 +35,12 @@ def _stat(template: str) -> str:
 
 @query("clean_inf_null", flows(f"SELECT {SHOWN_KEY}, {_sql_features()} FROM nulled"))
 def clean_inf_null(spark, sf_dir) -> DataFrame:
-    return prep.infinite_to_null(network_flows(spark, sf_dir), FEATURES).select(*shown_key(), *_features())
+    return prep.infinite_to_null(network_flows(spark, sf_dir), FEATURES).select(*shown_key(), *rounded_features())
 
 
 @query("clean_inf_zero", flows(f"SELECT {SHOWN_KEY}, {_sql_features()} FROM zeroed"))
 def clean_inf_zero(spark, sf_dir) -> DataFrame:
-    return prep.infinite_to_zero(network_flows(spark, sf_dir), FEATURES).select(*shown_key(), *_features())
+    return prep.infinite_to_zero(network_flows(spark, sf_dir), FEATURES).select(*shown_key(), *rounded_features())
 
 
 @query("severity_basic", flows(f'SELECT {SHOWN_KEY}, {BASIC} AS severity FROM flows'))
@@ -73,7 +73,7 @@ def severity_encode(spark, sf_dir) -> DataFrame:
 )
 def severity_dataset(spark, sf_dir) -> DataFrame:
     rows = prep.severity_dataset(network_flows(spark, sf_dir))
-    return rows.select(*shown_key(), *_features()[:5], "severity")
+    return rows.select(*shown_key(), *rounded_features()[:5], "severity")
 
 
 @query(
@@ -83,7 +83,7 @@ def severity_dataset(spark, sf_dir) -> DataFrame:
 )
 def median_impute(spark, sf_dir) -> DataFrame:
     rows = prep.drop_null_labels(prep.infinite_to_null(network_flows(spark, sf_dir), FEATURES))
-    return prep.impute(rows, prep.medians(rows, FEATURES)).select(*shown_key(), *_features(4))
+    return prep.impute(rows, prep.medians(rows, FEATURES)).select(*shown_key(), *rounded_features(4))
 
 
 @query(
@@ -217,7 +217,7 @@ def label_cumcount(spark, sf_dir) -> DataFrame:
     return rows.select(*shown_key(), F.col("Label").alias("label"), "attack_frequency", repeated)
 
 
-def _window_text(seq) -> F.Column:
+def window_text(seq) -> F.Column:
     """md5 of the windows' numbers as whole parts of the units used in the SQL."""
     scale = {"anomaly_score": 1_000_000, "packet_rate": 100}
     units = F.array(*[F.lit(scale.get(c, 1)) for c in fixed.SEQUENCE_FEATURES])
@@ -232,20 +232,20 @@ def _window_text(seq) -> F.Column:
 @query("sequence_dataset", flows(windows("PARTITION BY file_id")))
 def sequence_dataset(spark, sf_dir) -> DataFrame:
     made, _ = sequences.dataset(network_flows(spark, sf_dir))
-    return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
+    return made.select(*shown_key(), "y", window_text(F.col("seq")).alias("seq_md5"))
 
 
 @query("sequence_dataset_global", flows(windows("")))
 def sequence_dataset_global(spark, sf_dir) -> DataFrame:
     made, _ = sequences.dataset(network_flows(spark, sf_dir), scope="global")
-    return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
+    return made.select(*shown_key(), "y", window_text(F.col("seq")).alias("seq_md5"))
 
 
 @query("sequence_dataset_sliced", flows(windows("PARTITION BY file_id")))
 def sequence_dataset_sliced(spark, sf_dir) -> DataFrame:
     """The windows per file with every label and every file treated as hot."""
     made, _ = sequences.dataset(network_flows(spark, sf_dir), limit=0)
-    return made.select(*shown_key(), "y", _window_text(F.col("seq")).alias("seq_md5"))
+    return made.select(*shown_key(), "y", window_text(F.col("seq")).alias("seq_md5"))
 
 
 @query(

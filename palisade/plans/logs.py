@@ -16,6 +16,7 @@ from palisade.operators.investigate import (
     padded_sequence,
     sequence_alerts,
     sequence_features,
+    with_global_recent,
 )
 from palisade.operators.respond import action_log, exploded_actions, reports
 from palisade.plans.registry import query
@@ -221,6 +222,25 @@ def sequence_alerts_(spark, sf_dir) -> DataFrame:
     return found.withColumn("events", F.array_join("recent_events", ">")).drop("recent_events", "sequence")
 
 
+@query(
+    "sequence_alerts_global",
+    logs("""SELECT log_id, addr AS source_ip, concat_ws('>', g5, g4, g3, g2, ev) AS events,
+            coalesce(b2.next_event, b1.next_event, b0.next_event) AS predicted_next_attack, ev AS current_event, severity
+            FROM (SELECT log_id, addr, ev, severity, lag(ev,1) OVER w AS g2, lag(ev,2) OVER w AS g3, lag(ev,3) OVER w AS g4,
+                   lag(ev,4) OVER w AS g5 FROM det WINDOW w AS (ORDER BY "timestamp", log_id)) d
+            LEFT JOIN best b2 ON b2.length=2 AND b2.context=concat(g2,'>',ev)
+            LEFT JOIN best b1 ON b1.length=1 AND b1.context=ev LEFT JOIN best b0 ON b0.length=0
+            WHERE g5 IS NOT NULL"""),
+)
+def sequence_alerts_global(spark, sf_dir) -> DataFrame:
+    """Correlation records over the window shared by all addresses."""
+    rows = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
+    model = P.fit(with_history(rows, failed=False, recent=P.CONTEXT + 1))
+    found = sequence_alerts(with_global_recent(detect(with_history(rows))), model)
+    found = found.withColumn("events", F.array_join("recent_events", ">"))
+    return found.select("log_id", "source_ip", "events", "predicted_next_attack", "current_event", "severity")
+
+
 # --- next-event model -------------------------------------------------------------------------------------------------
 
 

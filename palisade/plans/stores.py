@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade import fixed
-from palisade.operators import pipeline, prep
+from palisade.operators import pipeline, prep, sequences
 from palisade.operators.respond import action_log, reports
-from palisade.plans.flows import FEATURES, shown_key
+from palisade.plans.flows import FEATURES, SHORT, rounded_features, shown_key, window_text
 from palisade.plans.logs import _SUMMARY
 from palisade.plans.registry import query
-from palisade.plans.sql import SHOWN_KEY, flows, logs
-from palisade.session import new_path
+from palisade.plans.sql import SHOWN_KEY, flows, logs, near, windows
+from palisade.session import materialize, new_path
 from palisade.sources import files
 from palisade.sources.adapters import FLOW_KEY, network_flows, soc_logs
 
@@ -162,3 +162,29 @@ def mapping_files(spark, sf_dir) -> DataFrame:
     path = new_path(spark, "mapping")
     files.write_mapping(prep.label_mapping(network_flows(spark, sf_dir)), path)
     return files.read_mapping(spark, path)
+
+
+@query("sequence_files", flows(windows("PARTITION BY file_id")))
+def sequence_files(spark, sf_dir) -> DataFrame:
+    """Training windows and their facts written and read back; the facts have to match the windows."""
+    made, classes = sequences.dataset(network_flows(spark, sf_dir))
+    made = materialize(made, "windows")
+    path = new_path(spark, "sequences")
+    files.write_sequences(made, sequences.metadata(made, classes), path)
+    read, facts = files.read_sequences(spark, path)
+    if (facts["sequence_length"], facts["dataset_size"]) != (fixed.SEQUENCE_LENGTH, read.count()):
+        raise ValueError(f"windows do not match their metadata: {facts}")
+    return read.select(*shown_key(), "y", window_text(F.col("seq")).alias("seq_md5"))
+
+
+@query(
+    "preprocess_flows",
+    flows(f"""SELECT {SHOWN_KEY}, code AS label_code, {", ".join(near(f'coalesce("{c}", m_{s})', 4) + f" AS {s}" for c, s in zip(FEATURES, SHORT))}
+              FROM labelled JOIN mapping ON class="Label",
+              (SELECT {", ".join(f'quantile_cont("{c}", 0.5) AS m_{s}' for c, s in zip(FEATURES, SHORT))} FROM labelled) m"""),
+)
+def preprocess_flows(spark, sf_dir) -> DataFrame:
+    """The cleaned data set: infinities and nulls filled with medians, labels coded, written as a table and read back."""
+    path = new_path(spark, "processed")
+    prep.preprocess(network_flows(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path).select(*shown_key(), "label_code", *rounded_features(4))

@@ -132,7 +132,8 @@ def append_alerts(alerts: DataFrame, path: str, stage: str) -> None:
         known = stored.filter(F.col("stage") == stage)
         known = known.filter(F.col("day").isin(days)) if len(days) <= 1000 else known
         new = new.join(known.select("log_id", "stage"), ["log_id", "stage"], "left_anti")
-    new.write.mode("append").partitionBy("stage", "day").parquet(path)
+    # few, evenly sized files per day: the hint merges small days and splits large ones
+    new.hint("rebalance", "day").write.mode("append").partitionBy("stage", "day").parquet(path)
 
 
 def _with_day() -> T.StructType:
@@ -154,7 +155,8 @@ def add_missing_columns(df: DataFrame, schema: T.StructType = STORED_ALERT) -> D
 
 
 def append_action_log(log: DataFrame, path: str) -> None:
-    log.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").json(path)
+    rows = log.withColumn("day", F.to_date("timestamp")).hint("rebalance", "day")
+    rows.write.mode("append").partitionBy("day").json(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -180,6 +182,17 @@ def severity_mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(fixed.SEVERITY_CODES.items()), "label string, code int")
 
 
+def write_sequences(sequences: DataFrame, facts: DataFrame, path: str) -> None:
+    """Training windows as a table, with the facts a training run has to agree with beside it."""
+    sequences.write.mode("overwrite").parquet(f"{path}/windows")
+    facts.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def read_sequences(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    facts = spark.read.json(f"{path}/metadata").first().asDict()
+    return spark.read.parquet(f"{path}/windows"), facts
+
+
 # --- database ---------------------------------------------------------------------------------------------------------
 
 
