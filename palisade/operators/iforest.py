@@ -188,11 +188,12 @@ def fit(
     """Clean, fill, scale, grow, and set the threshold at the `contamination` quantile of the training scores."""
     clean = prep.infinite_to_null(df.select(*key, *columns), columns)
     medians = prep.medians(clean, columns)
-    filled = prep.impute(clean, medians)
+    # the training matrix is read four more times: written once, whatever made the rows is not run again
+    filled = materialize(prep.impute(clean, medians), "training")
+    total = filled.count()
     scaler = prep.scaler(filled, columns)
-    total = clean.count()
     nodes = materialize(grow_forest(prep.scale(filled, scaler), total, key, columns, trees, sample, seed), "forest")
     forest = Forest(columns, medians, scaler, nodes, min(sample, total))
-    scores = materialize(forest.score(df.select(*columns)).select("anomaly_score"), "scores")
+    scores = materialize(forest.score(filled.select(*columns)).select("anomaly_score"), "scores")
     forest.threshold = exact_quantiles(scores, ["anomaly_score"], contamination)["anomaly_score"]
     return forest

@@ -15,9 +15,10 @@ from palisade.session import inline_table, materialize
 
 # A key with more rows than this is never given to a single task.
 HOT_ROWS = 1_000_000
-# Rows per slice of a hot key's order. Slices grow instead of becoming more than MAX_SLICES, so that the table of
-# per-slice carries has a fixed bound.
+# Most rows per slice of a hot key's order; smaller slices, down to MIN_SLICE_ROWS, keep all tasks busy on small data.
+# Slices grow instead of becoming more than MAX_SLICES, so that the table of per-slice carries has a fixed bound.
 SLICE_ROWS = 250_000
+MIN_SLICE_ROWS = 5_000
 MAX_SLICES = 20_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number inside the partition below
@@ -107,7 +108,10 @@ class SlicedOrder:
 
     def prepare(self, df: DataFrame) -> DataFrame:
         rows = order_index(df, self.order, "_pos")
-        self.size = max(SLICE_ROWS, math.ceil(rows.count() / MAX_SLICES))
+        total = rows.count()
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        even = max(MIN_SLICE_ROWS, math.ceil(total / (4 * tasks)))
+        self.size = max(min(SLICE_ROWS, even), math.ceil(total / MAX_SLICES))
         return rows
 
     def running_count(self, df: DataFrame, name: str, counted: Column) -> DataFrame:
