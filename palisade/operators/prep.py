@@ -154,14 +154,21 @@ def hash_split(df: DataFrame, key: list[str], test_share: float = TEST_SHARE, se
 
 
 def stratified_split(
-    df: DataFrame, key: list[str], label: str = "Label", test_share: float = TEST_SHARE, seed: int = SEED, digits: int = 4
+    df: DataFrame,
+    key: list[str],
+    label: str = "Label",
+    test_share: float = TEST_SHARE,
+    seed: int = SEED,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add `part`: of every label exactly ceil(share x rows) rows are test, those with the smallest row hash.
 
     Sorting a label that holds most rows in one task is avoided: a histogram over the first `digits` hex digits of the
     hash gives, per label, the digit group in which the count is reached; only the rows of that one group are ranked
-    (1/16^digits of the label), and everything before or after it is decided by comparing digits.
+    (1/16^digits of the label), and everything before or after it is decided by comparing digits. The number of rows
+    sets the digits when they are not given.
     """
+    digits = split_digits(df.count()) if digits is None else digits
     rows = df.filter(F.col(label).isNotNull()).withColumn("_hash", row_hash(key, seed))
     rows = rows.withColumn("_head", F.substring("_hash", 1, digits))
     groups = rows.groupBy(label, "_head").agg(F.count(F.lit(1)).alias("n"))

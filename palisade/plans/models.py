@@ -60,6 +60,7 @@ def anomaly_severity(spark, sf_dir) -> DataFrame:
 def intrusion_classifier(spark, sf_dir) -> DataFrame:
     """Attack class report of a forest on the stratified test part."""
     parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
+    parts = materialize(parts, "split")
     train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
     model = models.fit_intrusion(train, trees=20)
     test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)

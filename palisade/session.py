@@ -25,7 +25,9 @@ def durable_dir(spark: SparkSession) -> str:
         return already.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="palisade-"))
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="palisade-")
+    return _local_dirs[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
