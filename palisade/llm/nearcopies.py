@@ -7,7 +7,8 @@ agree in it with the probability of their weighted Jaccard similarity. Points la
 
 Banding: texts that agree in all registers of a band share a bucket. Members are compared with the bucket's hub. What is
 in another component than the hub then becomes a hub itself, some members at a time, until no bucket has a pair of
-different components of which neither was a hub: no link inside a bucket is lost, and a bucket is never squared.
+different components of which neither was a hub: no link inside a bucket is lost. These hubs meet their bucket's members
+in streamed blocks, where only signatures are compared; whole texts are compared for the pairs that come out close.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from palisade.session import materialize
 
 #: 32 bands of 5 registers miss a pair of similarity 0.8 once in 300,000 times.
 BANDS, ROWS = 32, 5
+#: Rows of a bucket that one task compares with its hubs.
+BLOCK = 20_000
+#: About so many members of a bucket become hubs in one round; a larger bucket takes several rounds.
+HUBS = 1000
 WORDS, SIMILARITY = 5, 0.8
 _STEP, _PICK, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,12 +90,12 @@ def band_keys(first: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """_id, s1, s2 (hashes of the words), bands (null without words) of every row."""
+    """_id, s1, s2 (hashes of the words), bands (empty without words), sig (a byte of every register) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            wholes, keys, full = [np.zeros((2, 0), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+            wholes, keys, full, sigs = [np.zeros((2, 0), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
             for begin, end in chunks(texts):
                 doc, value, count, whole = shingles(texts[begin:end], size)
                 first = bag_minhash(doc, value, count, end - begin, bands * rows)
@@ -98,15 +103,16 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 wholes.append(whole)
                 full.append(some)
                 keys.append(band_keys(first[some], bands).reshape(-1))
+                sigs += [row.tobytes() for row in mix(np.ascontiguousarray(first).view(np.uint64)).astype(np.uint8)]
             whole, some = np.concatenate(wholes, axis=1).view(np.int64), np.concatenate(full)
             yield pa.record_batch(
                 {
                     "_id": batch.column(0), "s1": pa.array(whole[0]), "s2": pa.array(whole[1]),
-                    "bands": lists(np.concatenate(keys).view(np.int64), some * bands, pa.int64()),
+                    "bands": lists(np.concatenate(keys).view(np.int64), some * bands, pa.int64()), "sig": pa.array(sigs, pa.binary()),
                 }
             )
 
-    return docs.mapInArrow(sign, "_id long, s1 long, s2 long, bands array<long>")
+    return docs.mapInArrow(sign, "_id long, s1 long, s2 long, bands array<long>, sig binary")
 
 
 def overlaps(texts: list[bytes], size: int = WORDS) -> np.ndarray:
@@ -158,29 +164,84 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _linked(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """All links found inside the buckets. members: key, node, hub (the bucket's smallest node)."""
-    spark = members.sparkSession
+def close_pairs(members: DataFrame, hubs: DataFrame, bands: int, least: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of a hub and a member of its bucket in another component whose signatures agree in at least that part.
+
+    members: key, band, node, root, sig; hubs: the same and rows (the bucket's). A bucket is dealt out in blocks of
+    BLOCK rows, each with its hubs, and read as a stream. A pair counts only in its first common band. With best, a hub
+    yields one pair for each component that it meets in a batch: the one of the highest agreement.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    spread = members.join(hubs.groupBy("key").agg(F.max("rows").alias("rows")), "key")
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("rows")
+    lead = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("rows")
+    rows = spread.withColumn("later", F.lit(1)).unionByName(lead.withColumn("later", F.lit(0)))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            key, block, later, band, node, root = (batch.column(i).to_numpy() for i in range(6))
+            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(key), -1)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            found: list[tuple[int, int]] = []
+            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                if group != (key[low], block[low]):
+                    group, held = (key[low], block[low]), []
+                middle = low + int((later[low:high] == 0).sum())
+                held += [(int(node[i]), int(root[i]), sig[i].copy()) for i in range(low, middle)]
+                for hub, hub_root, hub_sig in held if middle < high else []:
+                    same = sig[middle:high] == hub_sig
+                    share = same.mean(axis=1)
+                    first = same.reshape(len(same), bands, -1).all(axis=2).argmax(axis=1)
+                    good = np.flatnonzero((share >= least) & (root[middle:high] != hub_root) & (first == band[low]))
+                    if best and len(good):
+                        good = good[np.lexsort((-share[good], root[middle:high][good]))]
+                        good = good[np.append(True, np.diff(root[middle:high][good]) != 0)]
+                    found += [(hub, int(node[middle + i])) for i in good]
+            ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+            yield pa.record_batch({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
+
+    rows = rows.select("key", "block", "later", "band", "node", "root", "sig")
+    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "later")
+    return dealt.mapInArrow(match, "a long, b long").distinct()
+
+
+def _linked(members: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
+    """All links found inside the buckets. members: key, band, node, hub (the bucket's smallest node), rows.
+
+    A hub that joined no component by its best pairs is compared with all members of others. Pairs whose signatures
+    agree 4.5 standard deviations less than the similarity asks for are not compared: as rare a miss as the bands'.
+    """
+    bands, per_band = shape
+    least = similarity - 4.5 * (similarity * (1 - similarity) / (bands * per_band)) ** 0.5
+    signed = nodes.select("node", "sig")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(verified(pairs, texts, size, similarity), "links")
-    hubs, at_once = members.select("key", F.col("hub").alias("node")).distinct(), 4
-    while True:
-        roots = components(links)
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    used, turn = members.select("key", F.col("hub").alias("node")).distinct(), 0
+
+    def rooted() -> DataFrame:
+        placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = placed.where("node = hub").select("key", F.col("root").alias("main"))
-        placed = materialize(placed.join(main, "key"), "placed")
-        others = placed.where("root <> main").join(hubs, ["key", "node"], "left_anti")
-        least = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(at_once)]
-        chosen = others.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("nodes"))
-        chosen = chosen.select("key", F.explode("nodes").alias("node")).join(placed.select("key", "node", "root"), ["key", "node"])
-        chosen = materialize(chosen.select("key", F.col("node").alias("new"), F.col("root").alias("new_root")), "hubs")
+        placed = placed.join(main, "key")
+        mixed = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
+        return materialize(placed.join(mixed, "key"), "placed")
+
+    placed = rooted()
+    while True:
+        others = placed.where("root <> main").join(used, ["key", "node"], "left_anti")
+        share = F.ceil(F.col("rows") / HUBS)
+        now = F.pmod(F.xxhash64("node"), share) == F.pmod(F.lit(turn), share)
+        chosen = materialize(others.withColumn("now", now).select("key", "node", "now"), "hubs")
         if chosen.isEmpty():
             return links
-        pairs = placed.join(chosen, "key").where("root <> new_root")
-        pairs = pairs.select(F.least("node", "new").alias("a"), F.greatest("node", "new").alias("b")).distinct()
-        links = materialize(links.union(verified(pairs, texts, size, similarity)), "links")
-        hubs = materialize(hubs.union(chosen.select("key", F.col("new").alias("node"))), "used-hubs")
-        at_once = min(64, 4 * at_once)
+        for best in (True, False):
+            full = placed.join(signed, "node").select("key", "band", "node", "root", "sig", "rows")
+            lead = full.join(chosen.where("now").select("key", "node"), ["key", "node"])
+            pairs = close_pairs(full.drop("rows"), lead, bands, least, best)
+            links = materialize(links.union(verified(pairs, texts, size, similarity)).distinct(), "links")
+            placed = rooted()
+        used = materialize(used.union(chosen.where("now").select("key", "node")), "used-hubs")
+        turn += 1
 
 
 def near_copies(
@@ -196,14 +257,15 @@ def near_copies(
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1) - F.xxhash64(text_of()).bitwiseAND(F.lit(2**63 - 1)))
     rows_in = docs.select(own.alias("_id"), text_of().alias("text"))
     signed = materialize(signatures(rows_in, bands, rows, size), "signatures")
-    nodes = signed.where(F.size("bands") > 0).groupBy("s1", "s2").agg(F.min(F.struct("_id", "bands")).alias("x"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("x._id").alias("node"), "x.bands"), "nodes")
-    cells = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = cells.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    members = materialize(cells.join(shared.select("key", "hub"), "key").distinct(), "buckets")
+    nodes = signed.where(F.size("bands") > 0).groupBy("s1", "s2").agg(F.min(F.struct("_id", "bands", "sig")).alias("x"))
+    nodes = materialize(nodes.select("s1", "s2", F.col("x._id").alias("node"), "x.bands", "x.sig"), "nodes")
+    cells = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
+    shared = cells.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("rows"))
+    shared = shared.where("hub < last").drop("last")
+    members = materialize(cells.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct()
     texts = materialize(rows_in.join(wanted, rows_in["_id"] == wanted["node"], "left_semi"), "texts")
-    roots = components(_linked(members, texts, size, similarity))
+    roots = components(_linked(members, texts, nodes, size, similarity, (bands, rows)))
     placed = nodes.select("s1", "s2", "node").join(roots, "node", "left")
     placed = placed.select("s1", "s2", F.coalesce("root", "node").alias("class_id"))
     found = signed.where(F.size("bands") > 0).select("_id", "s1", "s2").join(placed, ["s1", "s2"], "left")
