@@ -20,7 +20,7 @@ from palisade.session import materialize
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.02, 42
 _NODE = "tree int, node int, feature int, cut double, left int, right int, length double"
 _OVERSAMPLE = 1.5
-_STEP = 37  # shares no factor with TREES: repeated memberships of a row go to different trees
+_STEPS = (37, 41)  # primes: one of them shares no factor with any usual number of trees
 
 
 def average_path(n):
@@ -41,8 +41,9 @@ def _subsamples(
     k = F.lit(math.floor(offers)) + (u < offers - math.floor(offers)).cast("int")
     first = F.pmod(F.xxhash64(*key, F.lit(seed + 1)), F.lit(trees))
     chosen = df.withColumn("_k", k).filter("_k > 0").withColumn("_first", first)
+    step = next(s for s in _STEPS if trees % s)  # repeated memberships of a row go to different trees
     spread = F.transform(
-        F.sequence(F.lit(0), F.col("_k") - 1), lambda j: ((F.col("_first") + j * _STEP) % trees).cast("int")
+        F.sequence(F.lit(0), F.col("_k") - 1), lambda j: ((F.col("_first") + j * step) % trees).cast("int")
     )
     return chosen.select(
         F.explode(spread).alias("tree"),

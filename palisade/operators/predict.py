@@ -32,28 +32,29 @@ def transitions(recent: DataFrame, context: int = CONTEXT) -> DataFrame:
     return rows.groupBy("p.length", "p.context", "p.next_event").agg(F.count(F.lit(1)).alias("n"))
 
 
-def probabilities(counts: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """P(next | context) of the contexts seen at least `min_support` times, with the most likely event marked."""
+def probabilities(counts: DataFrame) -> DataFrame:
+    """P(next | context) of all contexts, with how often the context was seen and the most likely event marked."""
     totals = counts.groupBy("length", "context").agg(
         F.sum("n").alias("support"),
         F.min_by("next_event", F.struct(-F.col("n"), F.col("next_event"))).alias("predicted"),
     )
     return (
-        counts.join(totals.filter(F.col("support") >= min_support), ["length", "context"])
+        counts.join(totals, ["length", "context"])
         .withColumn("probability", F.col("n") / F.col("support"))
         .withColumn("is_best", F.col("next_event") == F.col("predicted"))
         .drop("predicted")
     )
 
 
-def fit(recent: DataFrame, context: int = CONTEXT, min_support: int = MIN_SUPPORT) -> DataFrame:
+def fit(recent: DataFrame, context: int = CONTEXT) -> DataFrame:
     """The model as a written table: its file size is what decides whether later joins broadcast it."""
-    return materialize(probabilities(transitions(recent, context), min_support), "next-event-model")
+    return materialize(probabilities(transitions(recent, context)), "next-event-model")
 
 
-def predict(recent: DataFrame, model: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """Add predicted_next_attack, confidence (4 decimals), probability and context_length from the longest known context."""
-    best = model.filter("is_best")
+def predict(recent: DataFrame, model: DataFrame, context: int = CONTEXT, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Add predicted_next_attack, confidence (4 decimals), probability and context_length from the longest
+    context seen at least `min_support` times."""
+    best = model.filter(F.col("is_best") & (F.col("support") >= min_support))
     seq, n = F.col("recent_events"), F.size("recent_events")
     rows, tiers = recent, []
     for k in range(context, -1, -1):

@@ -271,15 +271,15 @@ t_trans AS (
 ),
 t_prob AS (SELECT *, n/support AS probability FROM (
   SELECT *, sum(n) OVER (PARTITION BY length, context) AS support,
-   row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next_event) AS place FROM t_trans) t WHERE support>=5),
+   row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next_event) AS place FROM t_trans) t),
 t_rows AS (
  SELECT e1, CASE WHEN b2.context IS NOT NULL THEN 2 WHEN b1.context IS NOT NULL THEN 1 ELSE 0 END AS length,
   CASE WHEN b2.context IS NOT NULL THEN b2.context WHEN b1.context IS NOT NULL THEN b1.context ELSE '' END AS context,
   CASE WHEN b2.context IS NOT NULL THEN b2.next_event WHEN b1.context IS NOT NULL THEN b1.next_event ELSE b0.next_event END AS guess
  FROM parts p
- LEFT JOIN t_prob b2 ON b2.place=1 AND b2.length=2 AND p.rn>2 AND b2.context=concat(p.e3,'>',p.e2)
- LEFT JOIN t_prob b1 ON b1.place=1 AND b1.length=1 AND b1.context=p.e2
- LEFT JOIN t_prob b0 ON b0.place=1 AND b0.length=0
+ LEFT JOIN t_prob b2 ON b2.support>=5 AND b2.place=1 AND b2.length=2 AND p.rn>2 AND b2.context=concat(p.e3,'>',p.e2)
+ LEFT JOIN t_prob b1 ON b1.support>=5 AND b1.place=1 AND b1.length=1 AND b1.context=p.e2
+ LEFT JOIN t_prob b0 ON b0.support>=5 AND b0.place=1 AND b0.length=0
  WHERE is_test AND rn>1
 )
 """

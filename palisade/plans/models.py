@@ -62,7 +62,7 @@ def intrusion_classifier(spark, sf_dir) -> DataFrame:
     parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
     parts = materialize(parts, "split")
     train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
-    model = models.fit_intrusion(train, trees=20)
+    model = models.fit_intrusion(train)
     test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)
     return metrics.classification_report(models.predictions(model, test), "Label", "predicted")
 
@@ -71,7 +71,7 @@ def intrusion_classifier(spark, sf_dir) -> DataFrame:
 def severity_classifier(spark, sf_dir) -> DataFrame:
     """Severity report of a forest on the flow severity set."""
     rows = prep.hash_split(prep.severity_dataset(network_flows(spark, sf_dir)), FLOW_KEY)
-    model = models.fit_severity(rows.filter("part = 'train'"), trees=20)
+    model = models.fit_severity(rows.filter("part = 'train'"))
     return metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted")
 
 
@@ -82,7 +82,7 @@ def alert_severity_classifier(spark, sf_dir) -> DataFrame:
     alerts = detect(with_history(logs, frequency=True, recent=5)).drop("anomaly_score")
     rows = models.alert_features(sequence_features(P.predict(alerts, P.fit(alerts))))
     rows = prep.hash_split(rows, ["log_id"])
-    model = models.fit_severity(rows.filter("part = 'train'"), models.ALERT_FEATURES, trees=20)
+    model = models.fit_severity(rows.filter("part = 'train'"), models.ALERT_FEATURES)
     return metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted")
 
 
@@ -91,7 +91,7 @@ def next_class_perceptron(spark, sf_dir) -> DataFrame:
     """Accuracy of the perceptron on windows of flows: the next row's class on the hash test part."""
     made, classes = sequences.dataset(network_flows(spark, sf_dir))
     rows = materialize(prep.hash_split(made, FLOW_KEY), "windows")  # the fit goes over them many times
-    model = models.fit_next_class(rows.filter("part = 'train'"), classes, rounds=20)
+    model = models.fit_next_class(rows.filter("part = 'train'"), classes)
     scored = model.transform(models.flattened(rows.filter("part = 'test'")))
     right = (F.col("prediction") == F.col("label")).cast("double")
     return scored.agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg(right), 6).alias("accuracy"))

@@ -71,9 +71,8 @@ prob AS (
  SELECT *, n/support AS probability FROM (
   SELECT *, sum(n) OVER (PARTITION BY length, context)::BIGINT AS support,
    row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next_event) AS place FROM trans) t
- WHERE support>=5
 ),
-best AS (SELECT * FROM prob WHERE place=1),
+best AS (SELECT * FROM prob WHERE place=1 AND support>=5),
 pred AS (
  SELECT d.*, coalesce(b2.next_event, b1.next_event, b0.next_event) AS predicted_next_attack,
   CASE WHEN b2.next_event IS NOT NULL THEN b2.probability WHEN b1.next_event IS NOT NULL THEN b1.probability

@@ -78,9 +78,10 @@ def json_round_trip(spark, sf_dir) -> DataFrame:
 
 @query(
     "dead_letter",
-    logs("""SELECT log_id, CASE WHEN k%10=0 THEN 'malformed' WHEN k%10=1 THEN 'missing_id' ELSE 'good' END AS outcome,
+    logs("""SELECT log_id, CASE WHEN k%10=0 THEN 'malformed' WHEN k%10=1 THEN 'derived_id' ELSE 'good' END AS outcome,
             CASE WHEN k%10<>0 AND k%10<>2 THEN "timestamp" END AS "timestamp" FROM soc_logs WHERE k%10>1
-            UNION ALL SELECT NULL, CASE WHEN k%10=0 THEN 'malformed' ELSE 'missing_id' END, NULL FROM soc_logs WHERE k%10<2"""),
+            UNION ALL SELECT NULL, CASE WHEN k%10=0 THEN 'malformed' ELSE 'derived_id' END, CASE WHEN k%10=1 THEN "timestamp" END
+            FROM soc_logs WHERE k%10<2"""),
 )
 def dead_letter(spark, sf_dir) -> DataFrame:
     """Records of which some are cut off, lack their id or carry a timestamp that is no number."""
@@ -89,7 +90,8 @@ def dead_letter(spark, sf_dir) -> DataFrame:
     text = F.to_json(F.struct(F.when(kind != 1, F.col("log_id")).alias("log_id"), "event", "ip", F.col("time").alias("timestamp")))
     text = F.when(kind == 0, F.substring(text, 1, 12)).otherwise(text)
     good, dead = files.split_dead_letters(files.decode_logs(rows.select(text.alias("value"))))
-    return good.select("log_id", F.lit("good").alias("outcome"), "timestamp").unionByName(
+    outcome = F.when(F.col("log_id") < 0, "derived_id").otherwise("good")
+    return good.select(F.when(F.col("log_id") >= 0, F.col("log_id")).alias("log_id"), outcome.alias("outcome"), "timestamp").unionByName(
         dead.select(F.lit(None).cast("bigint").alias("log_id"), F.col("cause").alias("outcome"), F.lit(None).cast("double").alias("timestamp"))
     )
 

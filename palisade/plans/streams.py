@@ -17,10 +17,11 @@ from palisade.streaming.stateful import prepare_session, stream_history
 _FIRST_DAY, _PARTS, _DAY = 1704067200, 3, 86400
 
 
-def replay(spark, sf_dir: str, start, parts: int = _PARTS) -> None:
+def replay(spark, sf_dir: str, start, parts: int = _PARTS, closing: bool = False) -> None:
     """Write the logs as JSON records in time order, part by part, and run the stream after each part.
 
-    `start(records, session)` starts the query on the record stream; each run picks up where the last one stopped.
+    `start(records, session)` starts the query on the record stream; each run picks up where the last one stopped. With
+    `closing`, a last run reads a record ten days later, so that no window or session stays open.
     """
     session = spark.newSession()
     prepare_session(session)
@@ -33,6 +34,10 @@ def replay(spark, sf_dir: str, start, parts: int = _PARTS) -> None:
         chosen = logs_.filter(F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)) == i)
         files.encode_json(chosen).write.mode("append").text(folder)
         start(folder_source(session, folder, files=None), session).awaitTermination()
+    if closing:
+        end = spark.range(1).select(F.lit(jobs.closing_record(_FIRST_DAY + 40 * _DAY)).alias("value"))
+        end.write.mode("append").text(folder)
+        start(folder_source(session, folder, files=None), session).awaitTermination()
 
 
 @query(
@@ -90,11 +95,10 @@ def stream_summary(spark, sf_dir) -> DataFrame:
              SELECT ({_MICROS}//600000000)*600 AS window_start, CASE
               WHEN event IN ('malware_detected','privilege_escalation','unauthorized_access') THEN 'HIGH'
               WHEN event IN ('port_scan','ddos_attempt') THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM soc_logs) t
-             WHERE window_start + 600 <= (SELECT (max({_MICROS}) - 600000000)//1000000 FROM soc_logs)
              GROUP BY window_start, severity"""),
 )
 def stream_alert_rate(spark, sf_dir) -> DataFrame:
-    """Windowed alert counts in append mode: the windows the watermark (10 minutes behind) has closed."""
+    """Windowed alert counts in append mode: all windows, the last ones closed by the closing record."""
     from palisade.functions import columns as C
 
     out, state = new_path(spark, "rates"), new_path(spark, "state")
@@ -104,7 +108,7 @@ def stream_alert_rate(spark, sf_dir) -> DataFrame:
         rates = jobs.stream_alert_rate(alerts, "10 minutes")
         return folder_sink(rates, out, state, "parquet", availableNow=True)
 
-    replay(spark, sf_dir, start)
+    replay(spark, sf_dir, start, closing=True)
     return spark.read.parquet(out).select(F.unix_timestamp("window_start").alias("window_start"), "severity", "alerts")
 
 
@@ -112,17 +116,16 @@ def stream_alert_rate(spark, sf_dir) -> DataFrame:
     "stream_sessions",
     logs(f"""SELECT ip, session_start, session_end, events FROM (
              SELECT addr AS ip, min({_MICROS}) AS session_start, max({_MICROS})+3600000000 AS session_end, count(*) AS events
-             FROM islands GROUP BY addr, island) t
-             WHERE session_end <= (SELECT max({_MICROS}) - 3600000000 FROM soc_logs)"""),
+             FROM islands GROUP BY addr, island) t"""),
 )
 def stream_sessions(spark, sf_dir) -> DataFrame:
-    """Sessions per address in append mode: those the watermark (one hour behind) has closed."""
+    """Sessions per address in append mode: all of them, the last ones closed by the closing record."""
     out, state = new_path(spark, "sessions"), new_path(spark, "state")
 
     def start(records, _):
         return folder_sink(jobs.stream_sessions(jobs.good_logs(records)), out, state, "parquet", availableNow=True)
 
-    replay(spark, sf_dir, start)
+    replay(spark, sf_dir, start, closing=True)
     return spark.read.parquet(out).select(
         "ip", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "events"
     )

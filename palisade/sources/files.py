@@ -10,6 +10,9 @@ from palisade.operators import prep
 from palisade.schemas import LOG, STORED_ALERT
 
 CORRUPT = "_corrupt"
+# where a record stands in its source; names records that come without an id
+RECORD_KEY = "record_key"
+UNDATED = "0001-01-01"
 
 
 # --- flow CSV ---------------------------------------------------------------------------------------------------------
@@ -55,18 +58,23 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def decode_logs(records: DataFrame, column: str = "value") -> DataFrame:
     """Log columns of JSON text, with the text itself in `_corrupt` when it does not parse. Batch or stream.
 
-    Missing keys and JSON nulls both become null; `timestamp` is numeric epoch seconds or null.
+    Missing keys and JSON nulls both become null; `timestamp` is numeric epoch seconds or null. A record without
+    `log_id` gets a negative one made of its place in the source (`record_key`), or of its text where there is none.
     """
     schema = T.StructType([*LOG.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col(column).cast("string")
     parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    kept = [c for c in records.columns if c != column]
-    rows = records.select(*kept, text.alias("_text"), parsed.alias("_log")).select(*kept, "_text", "_log.*")
+    kept = [c for c in records.columns if c not in (column, RECORD_KEY)]
+    place = F.coalesce(F.col(RECORD_KEY), text) if RECORD_KEY in records.columns else text
+    rows = records.select(*kept, text.alias("_text"), place.alias("_place"), parsed.alias("_log"))
+    rows = rows.select(*kept, "_text", "_place", "_log.*")
+    derived = F.lit(-1) - F.xxhash64("_place").bitwiseAND(F.lit(2**63 - 1))
     number = F.col("timestamp").try_cast("double")
     return (
         rows.withColumn(CORRUPT, F.when(F.col(CORRUPT).isNotNull() | F.col("_text").isNull(), F.coalesce("_text", F.lit(""))))
         .withColumn("timestamp", F.when(~F.isnan(number), number))
-        .drop("_text")
+        .withColumn("log_id", F.coalesce("log_id", F.when(F.col(CORRUPT).isNull(), derived)))
+        .drop("_text", "_place")
     )
 
 
@@ -77,7 +85,7 @@ def encode_json(df: DataFrame, name: str = "value") -> DataFrame:
 
 def failure_cause(rows: DataFrame) -> Column:
     """Why a decoded row cannot be processed; null when it can."""
-    return F.when(F.col(CORRUPT).isNotNull(), "malformed").when(F.col("log_id").isNull(), "missing_id")
+    return F.when(F.col(CORRUPT).isNotNull(), "malformed")
 
 
 def split_dead_letters(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +98,7 @@ def split_dead_letters(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- alert table ------------------------------------------------------------------------------------------------------
 
 
-def stored_form(alerts: DataFrame, stage: str) -> DataFrame:
+def stored_form(alerts: DataFrame, stage: str, *more: Column) -> DataFrame:
     """Alert rows as the table keeps them: defaults applied, confidence as text or null when it says nothing."""
     have = set(alerts.columns)
 
@@ -110,17 +118,22 @@ def stored_form(alerts: DataFrame, stage: str) -> DataFrame:
         F.when(confidence.isNotNull() & (confidence != 0), confidence.cast("string")).alias("confidence"),
         column("agent_source").cast("string").alias("agent_source"),
         C.alert_time(column("timestamp")).alias("timestamp"),
+        *more,
     )
 
 
 def append_alerts(alerts: DataFrame, path: str, stage: str) -> None:
     """Append the alerts that are not yet in the table, by log_id and stage.
 
-    The table is partitioned by stage and day, so a repeated batch is compared with its own days only. The append itself
-    is one job whose files appear on commit.
+    The table is partitioned by stage and day, so a repeated batch is compared with its own days only. The day is the
+    record's own, never the clock's: records without a timestamp share one. The append itself is one job whose files
+    appear on commit.
     """
     spark = alerts.sparkSession
-    new = stored_form(alerts, stage).withColumn("day", F.to_date("timestamp")).dropDuplicates(["log_id", "stage"])
+    own = F.col("_seconds").cast("string").try_cast("double") if "timestamp" in alerts.columns else F.lit(None)
+    dated = alerts.withColumn("_seconds", F.col("timestamp")) if "timestamp" in alerts.columns else alerts
+    day = F.when(own.isNotNull(), F.to_date(C.alert_time(own))).otherwise(F.lit(UNDATED).cast("date"))
+    new = stored_form(dated, stage, day.alias("day")).dropDuplicates(["log_id", "stage"])
     try:
         stored = spark.read.schema(_with_day()).parquet(path)
     except Exception as missing:
@@ -128,9 +141,7 @@ def append_alerts(alerts: DataFrame, path: str, stage: str) -> None:
             raise
         stored = None
     if stored is not None:
-        days = [r[0] for r in new.select("day").distinct().limit(1001).collect()]
-        known = stored.filter(F.col("stage") == stage)
-        known = known.filter(F.col("day").isin(days)) if len(days) <= 1000 else known
+        known = stored.filter(F.col("stage") == stage).join(new.select("day").distinct(), "day", "left_semi")
         new = new.join(known.select("log_id", "stage"), ["log_id", "stage"], "left_anti")
     # few, evenly sized files per day: the hint merges small days and splits large ones
     new.hint("rebalance", "day").write.mode("append").partitionBy("stage", "day").parquet(path)

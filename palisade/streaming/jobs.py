@@ -1,6 +1,8 @@
 """The streaming jobs: alerts, dead letters, summary, rates and sessions."""
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,18 +22,32 @@ def good_logs(records: DataFrame) -> DataFrame:
     return files.split_dead_letters(files.decode_logs(records))[0]
 
 
+def dated(rows: DataFrame) -> Column:
+    """Rows whose own time can place them: those without a time, or with one a day ahead, must not move a watermark."""
+    return F.coalesce(F.col("timestamp") < F.unix_timestamp() + 86_400, F.lit(False))
+
+
 def with_event_time(rows: DataFrame, delay: str) -> DataFrame:
-    """Add the event time `ts`, watermarked."""
-    return rows.withColumn("ts", C.alert_time(F.col("timestamp"))).withWatermark("ts", delay)
+    """Dated rows with their event time `ts`, watermarked. Undated ones have no place in windows; they stay in the alerts."""
+    placed = rows.filter(dated(rows))
+    return placed.withColumn("ts", C.alert_time(F.col("timestamp"))).withWatermark("ts", delay)
+
+
+def closing_record(seconds: float) -> str:
+    """A record that moves the watermark past all windows that end before it, so that a finished stream gives them out."""
+    return json.dumps({"log_id": 0, "event": "end_of_stream", "timestamp": seconds})
 
 
 def stream_alerts(
-    records: DataFrame, model: DataFrame | None = None, delay: str = "1 hour", distinct: bool = True
+    records: DataFrame, model: DataFrame | None = None, distinct: bool = True
 ) -> DataFrame:
-    """Remediated alerts of a record stream: repeated log ids dropped, history per address, then stateless steps."""
+    """Remediated alerts of a record stream: repeated log ids dropped, history per address, then stateless steps.
+
+    The ids seen are kept in the state store without a limit in time: a late record is never taken for a repeated one.
+    """
     logs = good_logs(records)
     if distinct:
-        logs = with_event_time(logs, delay).dropDuplicatesWithinWatermark(["log_id"]).drop("ts")
+        logs = logs.dropDuplicates(["log_id"])
     return respond(enrich(investigate(detect(stream_history(logs)), model)))
 
 

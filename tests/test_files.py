@@ -52,7 +52,7 @@ def test_decode_defaults_and_dead_letters(spark):
     got = [(r["log_id"], r["event"], r["timestamp"], r["Flow Duration"]) for r in good.orderBy("log_id").collect()]
     assert got == [(1, "port_scan", 5.25, 7.0), (2, None, None, None)]
     causes = sorted((r["cause"], r["record"] or "") for r in dead.collect())
-    assert causes == [("malformed", ""), ("malformed", "not json"), ("malformed", '{"log_id": 3, "ip": "a"'), ("missing_id", "")]
+    assert causes == [("malformed", ""), ("malformed", "not json"), ("malformed", '{"log_id": 3, "ip": "a"')]
 
 
 def test_encode_writes_unusual_types_as_text(spark):
