@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from palisade.llm.common import numbered, text_of, whole_rows
+from palisade.session import checked_broadcast
 
 BITS = 5
 
@@ -66,8 +67,10 @@ def size_cell(size: Column) -> Column:
     return F.least(F.lit((1 << BITS) - 1), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double")) * 2) - 8)).cast("long")
 
 
-def sharded(docs: DataFrame, shards: int = 8, names: tuple[str, str] = ("source", "lang")) -> DataFrame:
-    """Every row (_row) with size, crc, index (on the curve), shard and slot (its place in the shard, from 0).
+def sharded(
+    docs: DataFrame, shards: int = 8, names: tuple[str, str] = ("source", "lang"), keep: list[str] | None = None
+) -> DataFrame:
+    """Every row (_row: all columns, or those in keep) with size, crc, index (on the curve), shard and slot (its place in the shard, from 0).
 
     Shards are runs of the curve whose row counts are at most one apart. Equal indexes are ordered by doc_id, then by
     the text's checksum and size; rows equal in all of these are alike. Null names form a value of their own, null
@@ -80,10 +83,12 @@ def sharded(docs: DataFrame, shards: int = 8, names: tuple[str, str] = ("source"
         value = F.col(f"_row.{name}").cast("string") if name in docs.columns else F.lit(None).cast("string")
         rows = rows.withColumn(f"_v{i}", value)
         table = ranked_cells(rows, f"_v{i}").select(F.col("_value").alias(f"_t{i}"), F.col("_cell").alias(f"_c{i}"))
+        table = checked_broadcast(table)  # else the texts would be shuffled for a table of names
         rows = rows.join(table, F.col(f"_v{i}").eqNullSafe(F.col(f"_t{i}")), "left").drop(f"_v{i}", f"_t{i}")
         cells.append(F.col(f"_c{i}"))
     rows = rows.withColumn("index", _index3(cells[1], cells[2], cells[0])).withColumn("_id0", F.col("_row.doc_id"))
-    rows = rows.select("_row", "size", "crc", "index", "_id0")
+    row = F.struct(*[F.col(f"_row.`{c}`") for c in keep]).alias("_row") if keep else "_row"
+    rows = rows.select(row, "size", "crc", "index", "_id0")
     ranked, n = numbered(rows, ["index", "_id0", "crc", "size"])
     ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div {max(1, n)} as int)"))
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")

@@ -39,7 +39,7 @@ def op1_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
-    rows = hilbert.sharded(docs)
+    rows = hilbert.sharded(docs, keep=["doc_id"])
     return rows.select(
         "_row.doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "index",
