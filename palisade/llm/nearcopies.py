@@ -7,8 +7,8 @@ agree in it with the probability of their weighted Jaccard similarity. Points la
 
 Banding: texts that agree in all registers of a band share a bucket. Members are compared with the bucket's hub. What is
 in another component than the hub then becomes a hub itself, some members at a time, until no bucket has a pair of
-different components of which neither was a hub: no link inside a bucket is lost. These hubs meet their bucket's members
-in streamed blocks, where only signatures are compared; whole texts are compared for the pairs that come out close.
+different components of which neither was a hub: no link inside a bucket is lost. These hubs meet the members of their
+buckets in streamed blocks, where whole multisets are compared and only links that join components are given out.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from palisade.session import materialize
 
 #: 32 bands of 5 registers miss a pair of similarity 0.8 once in 300,000 times.
 BANDS, ROWS = 32, 5
-#: Rows of a bucket that one task compares with its hubs.
-BLOCK = 20_000
-#: About so many members of a bucket become hubs in one round; a larger bucket takes several rounds.
-HUBS = 1000
+#: Bytes of hubs, and of members, that about make a block; a longer text makes a block longer.
+LEAD_BYTES, BLOCK_BYTES = 1 << 20, 1 << 18
+#: About so many nodes of a family become hubs in one round; a larger family takes several rounds.
+HUBS = 2000
 WORDS, SIMILARITY = 5, 0.8
 _STEP, _PICK, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -90,12 +90,12 @@ def band_keys(first: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """_id, s1, s2 (hashes of the words), bands (empty without words), sig (a byte of every register) of every row."""
+    """_id, s1, s2 (hashes of the words), bands (empty without words), size (bytes) of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            wholes, keys, full, sigs = [np.zeros((2, 0), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], []
+            wholes, keys, full = [np.zeros((2, 0), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for begin, end in chunks(texts):
                 doc, value, count, whole = shingles(texts[begin:end], size)
                 first = bag_minhash(doc, value, count, end - begin, bands * rows)
@@ -103,16 +103,15 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
                 wholes.append(whole)
                 full.append(some)
                 keys.append(band_keys(first[some], bands).reshape(-1))
-                sigs += [row.tobytes() for row in mix(np.ascontiguousarray(first).view(np.uint64)).astype(np.uint8)]
             whole, some = np.concatenate(wholes, axis=1).view(np.int64), np.concatenate(full)
             yield pa.record_batch(
                 {
                     "_id": batch.column(0), "s1": pa.array(whole[0]), "s2": pa.array(whole[1]),
-                    "bands": lists(np.concatenate(keys).view(np.int64), some * bands, pa.int64()), "sig": pa.array(sigs, pa.binary()),
+                    "bands": lists(np.concatenate(keys).view(np.int64), some * bands, pa.int64()), "size": pa.array(list(map(len, texts)), pa.int64()),
                 }
             )
 
-    return docs.mapInArrow(sign, "_id long, s1 long, s2 long, bands array<long>, sig binary")
+    return docs.mapInArrow(sign, "_id long, s1 long, s2 long, bands array<long>, size long")
 
 
 def overlaps(texts: list[bytes], size: int = WORDS) -> np.ndarray:
@@ -164,83 +163,107 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def close_pairs(members: DataFrame, hubs: DataFrame, bands: int, least: float, best: bool) -> DataFrame:
-    """Pairs (a, b) of a hub and a member of its bucket in another component whose signatures agree in at least that part.
+def _fresh(label: np.ndarray, moved: dict[int, int]) -> np.ndarray:
+    """Component labels after the merges made so far; every entry of moved leads straight to its end."""
+    return np.array([moved.get(x, x) for x in label.tolist()], np.int64) if moved else label.copy()
 
-    members: key, band, node, root, sig; hubs: the same and rows (the bucket's). A bucket is dealt out in blocks of
-    BLOCK rows, each with its hubs, and read as a stream. A pair counts only in its first common band. With best, a hub
-    yields one pair for each component that it meets in a batch: the one of the highest agreement.
+
+def hub_links(rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the hubs and the members of each block: enough to join the components that any link joins.
+
+    rows: family, lead_block, block, later (0: hub), node, root, text. A block's hubs are held, its members are read as a
+    stream; whole multisets are compared through the members' sorted shingles, and no pair becomes a row unless it joins
+    two components.
     """
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    spread = members.join(hubs.groupBy("key").agg(F.max("rows").alias("rows")), "key")
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).drop("rows")
-    lead = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("rows")
-    rows = spread.withColumn("later", F.lit(1)).unionByName(lead.withColumn("later", F.lit(0)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, hubs, moved = None, [], {}
         for batch in batches:
-            key, block, later, band, node, root = (batch.column(i).to_numpy() for i in range(6))
-            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(key), -1)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
-            found: list[tuple[int, int]] = []
-            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                if group != (key[low], block[low]):
-                    group, held = (key[low], block[low]), []
-                middle = low + int((later[low:high] == 0).sum())
-                held += [(int(node[i]), int(root[i]), sig[i].copy()) for i in range(low, middle)]
-                for hub, hub_root, hub_sig in held if middle < high else []:
-                    same = sig[middle:high] == hub_sig
-                    share = same.mean(axis=1)
-                    first = same.reshape(len(same), bands, -1).all(axis=2).argmax(axis=1)
-                    good = np.flatnonzero((share >= least) & (root[middle:high] != hub_root) & (first == band[low]))
-                    if best and len(good):
-                        good = good[np.lexsort((-share[good], root[middle:high][good]))]
-                        good = good[np.append(True, np.diff(root[middle:high][good]) != 0)]
-                    found += [(hub, int(node[middle + i])) for i in good]
+            family, lead, block, later, node, root = (batch.column(i).to_numpy() for i in range(6))
+            texts, found = as_bytes(batch.column(6)), []
+            change = (family[1:] != family[:-1]) | (lead[1:] != lead[:-1]) | (block[1:] != block[:-1])
+            cut = np.flatnonzero(change | (later[1:] != later[:-1])) + 1
+            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), len(node)]):
+                if group != (family[low], lead[low], block[low]):
+                    group, hubs, moved = (family[low], lead[low], block[low]), [], {}
+                for begin, end in chunks(texts[low:high]):
+                    begin, end = low + begin, low + end
+                    doc, value, count, _ = shingles(texts[begin:end], size)
+                    total = np.bincount(doc, weights=count, minlength=end - begin)
+                    if later[low] == 0:
+                        edge = np.searchsorted(doc, np.arange(end - begin + 1))
+                        for i in range(end - begin):
+                            own = slice(edge[i], edge[i + 1])
+                            hubs.append((int(node[begin + i]), int(root[begin + i]), value[own], count[own], total[i]))
+                        continue
+                    order = np.argsort(value, kind="stable")
+                    doc, value, count = doc[order], value[order], count[order]
+                    label = _fresh(root[begin:end], moved)
+                    for hub, hub_root, hub_value, hub_count, hub_total in hubs:
+                        own = moved.get(hub_root, hub_root)
+                        if (label == own).all():
+                            continue
+                        first, last = np.searchsorted(value, hub_value), np.searchsorted(value, hub_value, "right")
+                        many = last - first
+                        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                        both = np.minimum(count[at], np.repeat(hub_count, many))
+                        shared = np.bincount(doc[at], weights=both, minlength=end - begin)
+                        close = shared >= (similarity - 1e-9) * (hub_total + total - shared)
+                        good = np.flatnonzero(close & (label != own))
+                        for other, i in zip(*np.unique(label[good], return_index=True)):
+                            found.append((hub, int(node[begin + good[i]])))
+                            moved.update({x: own for x, y in moved.items() if y == other})
+                            moved[int(other)] = own
+                            label[label == other] = own
             ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
             yield pa.record_batch({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
-    rows = rows.select("key", "block", "later", "band", "node", "root", "sig")
-    dealt = rows.repartition("key", "block").sortWithinPartitions("key", "block", "later")
-    return dealt.mapInArrow(match, "a long, b long").distinct()
+    rows = rows.select("family", "lead_block", "block", "later", "node", "root", "text")
+    dealt = rows.repartition("family", "lead_block", "block").sortWithinPartitions("family", "lead_block", "block", "later")
+    return dealt.mapInArrow(match, "a long, b long")
+
+
+def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The block of every row of a family, by its hash: as many blocks as the family's bytes ask for, and their number."""
+    parts = rows.groupBy("family").agg(F.ceil(F.sum("size") / most).cast("int").alias(f"{name}s"))
+    rows = rows.join(parts, "family")
+    return rows.withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
 
 
-def _linked(members: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float, shape: tuple[int, int]) -> DataFrame:
-    """All links found inside the buckets. members: key, band, node, hub (the bucket's smallest node), rows.
+def _linked(members: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links that join all components that any link inside a bucket joins.
 
-    A hub that joined no component by its best pairs is compared with all members of others. Pairs whose signatures
-    agree 4.5 standard deviations less than the similarity asks for are not compared: as rare a miss as the bands'.
+    members: key, node, hub (the bucket's smallest node). Buckets whose hubs are in one component form a family: its
+    nodes are compared together, so a pair in many common buckets is compared once.
     """
-    bands, per_band = shape
-    least = similarity - 4.5 * (similarity * (1 - similarity) / (bands * per_band)) ** 0.5
-    signed = nodes.select("node", "sig")
     pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(verified(pairs, texts, size, similarity), "links")
     used, turn = members.select("key", F.col("hub").alias("node")).distinct(), 0
-
-    def rooted() -> DataFrame:
-        placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        main = placed.where("node = hub").select("key", F.col("root").alias("main"))
-        placed = placed.join(main, "key")
-        mixed = placed.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-        return materialize(placed.join(mixed, "key"), "placed")
-
-    placed = rooted()
     while True:
-        others = placed.where("root <> main").join(used, ["key", "node"], "left_anti")
-        share = F.ceil(F.col("rows") / HUBS)
-        now = F.pmod(F.xxhash64("node"), share) == F.pmod(F.lit(turn), share)
-        chosen = materialize(others.withColumn("now", now).select("key", "node", "now"), "hubs")
-        if chosen.isEmpty():
+        placed = members.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        main = placed.where("node = hub").select("key", F.col("root").alias("family"))
+        others = placed.join(main, "key").where("root <> family").join(used, ["key", "node"], "left_anti")
+        others = materialize(others.select("family", "key", "node"), "others")
+        if others.isEmpty():
             return links
-        for best in (True, False):
-            full = placed.join(signed, "node").select("key", "band", "node", "root", "sig", "rows")
-            lead = full.join(chosen.where("now").select("key", "node"), ["key", "node"])
-            pairs = close_pairs(full.drop("rows"), lead, bands, least, best)
-            links = materialize(links.union(verified(pairs, texts, size, similarity)).distinct(), "links")
-            placed = rooted()
-        used = materialize(used.union(chosen.where("now").select("key", "node")), "used-hubs")
+        share = others.groupBy("family").agg(F.ceil(F.count_distinct("node") / HUBS).alias("share"))
+        now = F.pmod(F.xxhash64("node"), F.col("share")) == F.pmod(F.lit(turn), F.col("share"))
+        chosen = materialize(others.join(share, "family").where(now).select("family", "key", "node"), "hubs")
+        sized = nodes.select("node", "size")
+        lead = _blocks(chosen.select("family", "node").distinct().join(sized, "node"), "lead_block", LEAD_BYTES)
+        # only the members of buckets in which a hub was chosen
+        row = placed.join(chosen.select("family", "key").distinct(), "key").select("family", "node", "root").distinct()
+        row = materialize(_blocks(row.join(sized, "node"), "block", BLOCK_BYTES), "members")
+        shape = row.groupBy("family").agg(F.max("blocks").alias("n"))
+        leads = lead.groupBy("family").agg(F.max("lead_blocks").alias("n"))
+        every = F.sequence(F.lit(0), F.col("n") - 1)
+        hubs = lead.join(row.select("family", "node", "root"), ["family", "node"]).join(shape, "family")
+        hubs = hubs.select("family", "lead_block", F.explode(every).alias("block"), F.lit(0).alias("later"), "node", "root")
+        rest = row.join(leads, "family")
+        rest = rest.select("family", F.explode(every).alias("lead_block"), "block", F.lit(1).alias("later"), "node", "root")
+        rows = hubs.unionByName(rest).join(texts.withColumnRenamed("_id", "node"), "node")
+        links = materialize(links.union(hub_links(rows, size, similarity)).distinct(), "links")
+        used = materialize(used.union(chosen.select("key", "node")), "used-hubs")
         turn += 1
 
 
@@ -257,15 +280,15 @@ def near_copies(
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1) - F.xxhash64(text_of()).bitwiseAND(F.lit(2**63 - 1)))
     rows_in = docs.select(own.alias("_id"), text_of().alias("text"))
     signed = materialize(signatures(rows_in, bands, rows, size), "signatures")
-    nodes = signed.where(F.size("bands") > 0).groupBy("s1", "s2").agg(F.min(F.struct("_id", "bands", "sig")).alias("x"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("x._id").alias("node"), "x.bands", "x.sig"), "nodes")
-    cells = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
-    shared = cells.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("rows"))
+    nodes = signed.where(F.size("bands") > 0).groupBy("s1", "s2").agg(F.min(F.struct("_id", "bands", "size")).alias("x"))
+    nodes = materialize(nodes.select("s1", "s2", F.col("x._id").alias("node"), "x.bands", "x.size"), "nodes")
+    cells = nodes.select(F.explode("bands").alias("key"), "node")
+    shared = cells.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     shared = shared.where("hub < last").drop("last")
     members = materialize(cells.join(shared, "key"), "buckets")
     wanted = members.select("node").distinct()
     texts = materialize(rows_in.join(wanted, rows_in["_id"] == wanted["node"], "left_semi"), "texts")
-    roots = components(_linked(members, texts, nodes, size, similarity, (bands, rows)))
+    roots = components(_linked(members, texts, nodes, size, similarity))
     placed = nodes.select("s1", "s2", "node").join(roots, "node", "left")
     placed = placed.select("s1", "s2", F.coalesce("root", "node").alias("class_id"))
     found = signed.where(F.size("bands") > 0).select("_id", "s1", "s2").join(placed, ["s1", "s2"], "left")

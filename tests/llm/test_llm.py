@@ -183,8 +183,12 @@ def test_near_copies(spark, place):
     assert got == brute_classes(rows)
 
 
-def test_near_copies_of_templates(spark):
-    """Buckets whose members are only partly alike: nothing alike may be missed."""
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_of_templates(spark, monkeypatch, small):
+    """Buckets whose members are only partly alike: nothing alike may be missed, in one round or in many small ones."""
+    if small:
+        for name, value in (("HUBS", 40), ("LEAD_BYTES", 4000), ("BLOCK_BYTES", 9000)):
+            monkeypatch.setattr(nearcopies, name, value)
     rng = np.random.default_rng(1)
     base = [f"t{i}" for i in range(120)]
     rows = []
