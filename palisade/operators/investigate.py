@@ -7,7 +7,7 @@ from palisade import fixed
 from palisade.functions import columns as C
 from palisade.operators import predict as P
 from palisade.operators.detect import KEY
-from palisade.operators.ordered import in_order
+from palisade.operators.ordered import by_heat, in_order
 from palisade.session import inline_table
 from palisade.sources.adapters import LOG_ORDER
 
@@ -85,22 +85,40 @@ def sequence_features(alerts: DataFrame, codes: DataFrame | None = None) -> Data
     ).drop("code")
 
 
-def with_global_recent(alerts: DataFrame, length: int = fixed.SEQUENCE_LENGTH) -> DataFrame:
-    """recent_events over the one order of all addresses together, instead of per address. For batches only."""
+def live_vector() -> Column:
+    """The six live features of a row of `sequence_features`, as one array."""
+    return F.array(*[F.col(c).cast("double") for c in fixed.SEQUENCE_FEATURES])
+
+
+def with_sequences(alerts: DataFrame, length: int = fixed.SEQUENCE_LENGTH, scope: str = "address") -> DataFrame:
+    """recent_events, and `sequence`: the live features of the same events as they were when they happened.
+
+    Scope `address` keeps a window per address; `global` runs one window over the order of all addresses together.
+    `alerts` has failed_login_count and attack_frequency. For batches only.
+    """
 
     def steps(rows, windows):
-        return windows.trailing(rows, "recent_events", F.coalesce("event", F.lit("unknown")), length)
+        rows = windows.trailing(rows, "recent_events", F.coalesce("event", F.lit("unknown")), length)
+        return windows.trailing(rows, "sequence", F.col("_live"), length)
+
+    rows = sequence_features(alerts).withColumn("_live", live_vector()).drop(*set(fixed.SEQUENCE_FEATURES) - {"attack_frequency"})
+    rows = in_order(rows, LOG_ORDER, steps) if scope == "global" else by_heat(rows, KEY, LOG_ORDER, steps)
+    return rows.drop("_live")
+
 
-    return in_order(alerts, LOG_ORDER, steps)
+def latest_sequences(alerts: DataFrame) -> DataFrame:
+    """The window of the last event of every address, of rows with `sequence`; combined map-side, one row per address."""
+    last = F.max_by(F.struct("log_id", "sequence"), F.struct(*LOG_ORDER)).alias("last")
+    return alerts.groupBy(F.col(KEY).alias("ip")).agg(last).select("ip", "last.log_id", "last.sequence")
 
 
 def sequence_alerts(alerts: DataFrame, model: DataFrame, length: int = fixed.SEQUENCE_LENGTH) -> DataFrame:
-    """Correlation records of addresses whose window is full."""
+    """Correlation records of rows whose window is full; `alerts` has recent_events and sequence."""
     full = alerts.filter(F.size("recent_events") == length)
     return P.predict(full, model).select(
         "log_id",
         F.col(KEY).alias("source_ip"),
-        padded_sequence(F.col("recent_events"), length).alias("sequence"),
+        "sequence",
         "recent_events",
         "predicted_next_attack",
         "confidence",

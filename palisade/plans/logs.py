@@ -13,10 +13,11 @@ from palisade.operators.investigate import (
     event_vector,
     event_vector_table,
     investigate,
+    latest_sequences,
     padded_sequence,
     sequence_alerts,
     sequence_features,
-    with_global_recent,
+    with_sequences,
 )
 from palisade.operators.respond import action_log, exploded_actions, reports
 from palisade.plans.registry import query
@@ -210,35 +211,63 @@ def sequence_features_(spark, sf_dir) -> DataFrame:
     return sequence_features(alerts).select("log_id", *fixed.SEQUENCE_FEATURES)
 
 
+# The live features of every event in whole hundredths, and the windows over them.
+_SEQUENCES = """
+live AS (SELECT d.*, concat_ws(',', coalesce(c.code,0)*100, CASE severity WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 100 ELSE 200 END,
+  CASE WHEN severity='HIGH' THEN 90 ELSE 40 END, coalesce(flc,1)*10000, attack_frequency*100,
+  CASE WHEN attack_frequency>3 THEN 100 ELSE 0 END) AS v FROM det d LEFT JOIN codes c ON c.name=ev),
+own_seq AS (SELECT log_id, concat_ws(';', lag(v,4) OVER w, lag(v,3) OVER w, lag(v,2) OVER w, lag(v,1) OVER w, v) AS sequence
+  FROM live WINDOW w AS (PARTITION BY addr ORDER BY "timestamp", log_id)),
+all_seq AS (SELECT log_id, addr, concat_ws(';', lag(v,4) OVER w, lag(v,3) OVER w, lag(v,2) OVER w, lag(v,1) OVER w, v) AS sequence,
+   row_number() OVER (PARTITION BY addr ORDER BY "timestamp" DESC, log_id DESC) AS newest
+  FROM live WINDOW w AS (ORDER BY "timestamp", log_id))
+"""
+
+
+def _sequence_text():
+    return F.array_join(F.transform("sequence", lambda v: rounded_text(v, 100)), ";").alias("sequence")
+
+
+def _live_alerts(spark, sf_dir) -> DataFrame:
+    rows = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
+    return detect(with_history(rows, frequency=True))
+
+
 @query(
     "sequence_alerts",
-    logs("""SELECT log_id, addr AS source_ip, concat_ws('>', e5, e4, e3, e2, e1) AS events, predicted_next_attack, confidence,
-            ev AS current_event, severity, 'sequence_correlation' AS type FROM inv WHERE rn>=5"""),
+    logs("""SELECT i.log_id, addr AS source_ip, concat_ws('>', e5, e4, e3, e2, e1) AS events, s.sequence, predicted_next_attack,
+            confidence, ev AS current_event, severity, 'sequence_correlation' AS type
+            FROM inv i JOIN own_seq s ON s.log_id=i.log_id WHERE rn>=5""", _SEQUENCES),
 )
 def sequence_alerts_(spark, sf_dir) -> DataFrame:
-    rows = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
-    alerts = detect(with_history(rows, recent=5))
+    alerts = with_sequences(_live_alerts(spark, sf_dir))
     found = sequence_alerts(alerts, P.fit(alerts))
-    return found.withColumn("events", F.array_join("recent_events", ">")).drop("recent_events", "sequence")
+    return found.withColumns({"events": F.array_join("recent_events", ">"), "sequence": _sequence_text()}).drop("recent_events")
 
 
 @query(
     "sequence_alerts_global",
-    logs("""SELECT log_id, addr AS source_ip, concat_ws('>', g5, g4, g3, g2, ev) AS events,
+    logs("""SELECT d.log_id, d.addr AS source_ip, concat_ws('>', g5, g4, g3, g2, ev) AS events, s.sequence,
             coalesce(b2.next_event, b1.next_event, b0.next_event) AS predicted_next_attack, ev AS current_event, severity
             FROM (SELECT log_id, addr, ev, severity, lag(ev,1) OVER w AS g2, lag(ev,2) OVER w AS g3, lag(ev,3) OVER w AS g4,
                    lag(ev,4) OVER w AS g5 FROM det WINDOW w AS (ORDER BY "timestamp", log_id)) d
+            JOIN all_seq s ON s.log_id=d.log_id
             LEFT JOIN best b2 ON b2.length=2 AND b2.context=concat(g2,'>',ev)
             LEFT JOIN best b1 ON b1.length=1 AND b1.context=ev LEFT JOIN best b0 ON b0.length=0
-            WHERE g5 IS NOT NULL"""),
+            WHERE g5 IS NOT NULL""", _SEQUENCES),
 )
 def sequence_alerts_global(spark, sf_dir) -> DataFrame:
     """Correlation records over the window shared by all addresses."""
-    rows = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
-    model = P.fit(with_history(rows, failed=False, recent=P.CONTEXT + 1))
-    found = sequence_alerts(with_global_recent(detect(with_history(rows))), model)
+    found = sequence_alerts(with_sequences(_live_alerts(spark, sf_dir), scope="global"), P.fit(_recent(spark, sf_dir)))
     found = found.withColumn("events", F.array_join("recent_events", ">"))
-    return found.select("log_id", "source_ip", "events", "predicted_next_attack", "current_event", "severity")
+    return found.select("log_id", "source_ip", "events", _sequence_text(), "predicted_next_attack", "current_event", "severity")
+
+
+@query("latest_sequences", logs("SELECT addr AS ip, log_id, sequence FROM all_seq WHERE newest=1", _SEQUENCES))
+def latest_sequences_(spark, sf_dir) -> DataFrame:
+    """The shared window as it stood at the last event of every address."""
+    found = latest_sequences(with_sequences(_live_alerts(spark, sf_dir), scope="global"))
+    return found.select("ip", "log_id", _sequence_text())
 
 
 # --- next-event model -------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from palisade.operators import analytics, pipeline
 from palisade.operators import predict as P
 from palisade.operators.detect import detect, flow_vectors, with_history
 from palisade.operators.intel import enrich
-from palisade.operators.investigate import investigate, padded_sequence, sequence_alerts, sequence_features
+from palisade.operators.investigate import investigate, padded_sequence, sequence_alerts, sequence_features, with_sequences
 from palisade.operators.respond import exploded_actions, reports, respond
 
 LOG = "log_id bigint, timestamp double, event string, ip string, user string"
@@ -163,9 +163,11 @@ def test_prediction_backs_off(spark):
 
 
 def test_sequence_alerts_wait_for_a_full_window(spark):
-    recent = detect(with_history(logs(spark, [(i, "port_scan", "a", None) for i in range(9)]), recent=5))
+    recent = with_sequences(detect(with_history(logs(spark, [(i, "port_scan", "a", None) for i in range(9)]), frequency=True)))
     got = sequence_alerts(recent, P.fit(recent)).orderBy("log_id").collect()
     assert [r["log_id"] for r in got] == [4, 5, 6, 7, 8]
+    # the live features of the five events, with the frequency that each of them had
+    assert got[0]["sequence"] == [[0, 1, 0.4, 100, n, int(n > 3)] for n in range(1, 6)]
     assert {(r["source_ip"], r["current_event"], r["predicted_next_attack"], r["type"]) for r in got} == {
         ("a", "port_scan", "port_scan", "sequence_correlation")
     }

@@ -32,7 +32,8 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     assert contract.entry(spark).count() > 0
-    assert set(contract.queries()) == set(QUERIES) and set(contract.oracle_sql()) == set(ORACLE)
+    # more queries join where the text folder is present
+    assert set(contract.queries()) >= set(QUERIES) and set(contract.oracle_sql()) >= set(ORACLE)
 
 
 def plan(df):
