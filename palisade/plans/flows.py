@@ -248,6 +248,22 @@ def sequence_dataset_sliced(spark, sf_dir) -> DataFrame:
     return made.select(*shown_key(), "y", window_text(F.col("seq")).alias("seq_md5"))
 
 
+@query(
+    "label_sequence_dataset",
+    flows(f"""SELECT {SHOWN_KEY}, concat_ws(',', p5, p4, p3, p2, p1) AS seq, y FROM (
+              SELECT f.*, m.code AS y, lag(m.code,1) OVER w AS p1, lag(m.code,2) OVER w AS p2, lag(m.code,3) OVER w AS p3,
+               lag(m.code,4) OVER w AS p4, lag(m.code,5) OVER w AS p5
+              FROM (SELECT *, coalesce(trim("Label"),'nan') AS lab FROM flows) f JOIN (
+               SELECT lab, CAST(row_number() OVER (ORDER BY {KEY})-1 AS INT) AS code
+               FROM (SELECT *, row_number() OVER (PARTITION BY lab ORDER BY {KEY}) AS nth
+                FROM (SELECT *, coalesce(trim("Label"),'nan') AS lab FROM flows) a) b WHERE nth=1) m ON m.lab=f.lab
+              WINDOW w AS (ORDER BY {KEY})) t WHERE p5 IS NOT NULL"""),
+)
+def label_sequence_dataset(spark, sf_dir) -> DataFrame:
+    made = sequences.label_windows(network_flows(spark, sf_dir))
+    return made.select(*shown_key(), F.array_join(F.col("seq").cast("array<string>"), ",").alias("seq"), "y")
+
+
 @query(
     "sequence_metadata",
     flows(f"""SELECT 5 AS sequence_length, 6 AS num_features,
