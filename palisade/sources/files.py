@@ -34,14 +34,19 @@ def _typed_flows(raw: DataFrame) -> DataFrame:
 
 
 def read_flow_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Flow CSVs with a header each: one glob whose files share a header, or a list whose files are stacked by name.
+    """Flow CSVs with a header each, one glob or a list of paths, stacked by column name.
 
-    A glob without a match raises when the path is resolved. No schema inference pass is made.
+    The files of a glob are listed and read by their own headers, those with one header together. A glob without a match
+    raises when the path is resolved. No schema inference pass is made.
     """
     read = spark.read.option("header", True)
-    if isinstance(paths, str):
-        return _typed_flows(read.csv(paths))
-    return prep.union_files([_typed_flows(read.csv(path)) for path in paths])
+    if not isinstance(paths, str):
+        return prep.union_files([_typed_flows(read.csv(path)) for path in paths])
+    alike: dict[tuple, list[str]] = {}
+    listed = spark.read.format("binaryFile").load(paths).select("path").orderBy("path")
+    for row in listed.collect():  # names of files only
+        alike.setdefault(tuple(read.csv(row["path"]).columns), []).append(row["path"])
+    return prep.union_files([_typed_flows(read.csv(files)) for files in alike.values()])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -34,6 +34,8 @@ def test_flow_csv_by_header_name(spark, tmp_path):
         (2.0, "DDoS", None, "two.csv"),
     ]
     assert files.read_flow_csv(spark, str(tmp_path / "o*.csv")).count() == 3
+    both = files.read_flow_csv(spark, str(tmp_path / "*.csv")).select(*got.columns)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, got.collect()))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_flow_csv(spark, str(tmp_path / "none*.csv"))
 
