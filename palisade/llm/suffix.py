@@ -1,10 +1,10 @@
-"""Suffix arrays by induced sorting, whole buckets at a time, and permuted common prefixes.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are S (smaller than the next) or L. The leftmost S ones (LMS) are sorted first: one induction sorts their
-substrings, equal substrings share a name, and the string of names, a third as long, is sorted by doubling ranks (its
-alphabet is as large as itself, so buckets would not help there). A second induction then orders all suffixes. An
-induction takes each bucket once from left to right for L and once from right to left for S; entries that a bucket
-induces into itself follow in waves.
+substrings, equal substrings share a name, and the string of names, at most half as long, is sorted in the same way. A
+second induction then orders all suffixes. An induction takes each bucket once from left to right for L and once from
+right to left for S: whole buckets at a time where values are few (entries that a bucket induces into itself follow in
+waves), entry by entry where, as among names, a bucket holds little.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 
 from palisade.llm.common import Rolling, mix
 
+# With more values than this a bucket is not worth an array operation of its own.
+FEW_VALUES = 1 << 10
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -71,27 +73,35 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, values: int) ->
     return np.concatenate([part for v in range(values) for part in (*large[v], *small[v])])
 
 
-def _sorted_by_rank(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names from 1, by ranks of runs that double in length."""
-    n, rank, length = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - length)] = rank[length:]
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.append(1, np.cumsum(key[order][1:] != key[order][:-1]) + 1)
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n:
-            return order
-        length *= 2
+def induce_each(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, values: int) -> np.ndarray:
+    """The same as induce, entry by entry."""
+    stop = np.cumsum(np.bincount(s, minlength=values))
+    text, is_small, order = s.tolist(), smaller.tolist(), [-1] * len(s)
+    tail = stop.tolist()
+    for p in reversed(lms.tolist()):
+        tail[text[p]] -= 1
+        order[tail[text[p]]] = p
+    head = [0, *stop[:-1].tolist()]
+    for p in order:  # grows ahead of the reader
+        if p > 0 and not is_small[p - 1]:
+            v = text[p - 1]
+            order[head[v]] = p - 1
+            head[v] += 1
+    tail = stop.tolist()
+    for p in reversed(order):
+        if p > 0 and is_small[p - 1]:
+            v = text[p - 1]
+            tail[v] -= 1
+            order[tail[v]] = p - 1
+    return np.array(order)
 
 
 def suffix_array(s: np.ndarray, values: int) -> np.ndarray:
     """Suffixes of s (whose last value is 0 and its only 0) in order."""
     smaller = classify(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    order = induce(s, smaller, lms, values)
+    induction = induce if values <= FEW_VALUES else induce_each
+    order = induction(s, smaller, lms, values)
     number = np.full(len(s), -1, np.int64)
     number[lms] = np.arange(len(lms))
     ranked = number[order]
@@ -102,8 +112,8 @@ def suffix_array(s: np.ndarray, values: int) -> np.ndarray:
     name = np.empty(len(lms), np.int64)
     name[ranked] = np.append(1, np.cumsum(part[ranked][1:] != part[ranked][:-1]) + 1)
     if name.max(initial=0) < len(lms):
-        ranked = _sorted_by_rank(name)
-    return induce(s, smaller, lms[ranked], values)
+        ranked = suffix_array(name - 1, int(name.max()))
+    return induction(s, smaller, lms[ranked], values)
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

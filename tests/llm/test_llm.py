@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import difference
-from palisade.llm import common, contamination, hilbert, lines, mixing, nearcopies, personal, quality, queries, repeats, tokens
+from palisade.llm import common, contamination, hilbert, lines, mixing, nearcopies, personal, quality, queries, repeats, suffix, tokens
 from palisade.llm.suffix import permuted_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -251,6 +251,9 @@ def test_suffix_array(letters):
     s[300:600] = s[:300]
     order = suffix_array(s, 258)
     assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    smaller = suffix.classify(s)
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    assert (suffix.induce(s, smaller, lms, 258) == suffix.induce_each(s, smaller, lms, 258)).all()
     before, common_prefix = permuted_prefixes(s, order, np.array([5, 300]), 1 << 10)
     for i in np.flatnonzero(before >= 0):
         a, b, n = s[i:], s[before[i] :], 0
