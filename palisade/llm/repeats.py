@@ -23,6 +23,8 @@ from palisade.llm.suffix import permuted_prefixes, suffix_array
 from palisade.session import materialize
 
 CROWD = 1500
+# Keys with more than this share of all rows, fewer than its reciprocal, are looked up where the rows are.
+HOT_SHARE = 1 / 1000
 _LOWEST = -(2**63)
 _A, _B, _C = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 _RUN = "array<struct<anchor:long,seg:long,first:int,last:int>>"
@@ -237,6 +239,18 @@ def repeated_by_suffixes(bodies: list[bytes], anchors: np.ndarray, length: int)
     return doc[own], (at - start[doc])[own]
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a written table of one row per key, whose `count` says how many of the `total` rows have the key.
+
+    Counts of different keys add up to total at most, so fewer than 1 / HOT_SHARE keys are above the share: these are
+    broadcast and their rows never meet in one task.
+    """
+    hot = F.col(count) > total * HOT_SHARE
+    often = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(often, keys).unionByName(rest.join(table.where(~hot), keys, how))
+
+
 def _compared(segs: DataFrame, compare: Callable, length: int) -> DataFrame:
     """Hits of the runs of anchors that are no crowd. Shards are about a megabyte, cut between anchors."""
 
@@ -280,10 +294,12 @@ def _counted(segs: DataFrame, units, length: int) -> DataFrame:
                 {"anchor": batch.column(0), "seg": batch.column(1), "values": pa.ListArray.from_arrays(pa.array(offsets), values)}
             )
 
-    rows = segs.mapInArrow(windows, "anchor long, seg long, values array<long>")
-    rows = rows.select("anchor", "seg", F.posexplode("values").alias("at", "value"))
+    stored = materialize(segs.mapInArrow(windows, "anchor long, seg long, values array<long>"), "crowd-windows")
+    total = stored.agg(F.sum(F.size("values"))).first()[0] or 0
+    rows = stored.select("anchor", "seg", F.posexplode("values").alias("at", "value"))
     twice = rows.groupBy("anchor", "value").agg(F.count("*").alias("n")).where("n > 1")
-    hit = rows.join(twice, ["anchor", "value"]).groupBy("anchor", "seg")
+    twice = materialize(twice, "crowd-repeats")
+    hit = looked_up(rows, twice, ["anchor", "value"], "n", total).groupBy("anchor", "seg")
     place = F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))
     return hit.agg(F.collect_list(place).alias("hits"))
 
@@ -301,16 +317,17 @@ def without_repeats(docs: DataFrame, units, compare: Callable, length: int, gram
     stored = materialize(all_runs(rows, units, length, gram), "runs")
     runs = stored.select("doc", "hash", F.explode("runs").alias("x")).select("doc", "hash", "x.*")
     common = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("seg") < F.max("seg")).alias("several"))
-    common = common.where("n > 1").select("anchor", "several")
-    runs = materialize(runs.join(common, "anchor"), "seeded-runs")
+    common = materialize(common.where("n > 1"), "anchors")
+    total = stored.agg(F.sum(F.size("runs"))).first()[0] or 0
+    runs = materialize(looked_up(runs, common, ["anchor"], "n", total).drop("n"), "seeded-runs")
     place = F.struct("doc", "hash", "first")
     segs = runs.groupBy("anchor", "seg").agg(
         F.count("*").alias("n"), F.min(place).alias("where"), F.first("several").alias("several")
     )
     segs = materialize(segs, "segs")
     crowds = segs.where("several").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CROWD)
-    segs = segs.join(crowds, "anchor", "left")
-    known = runs.drop("several").join(segs, ["anchor", "seg"])
+    segs = materialize(looked_up(segs, materialize(crowds, "crowds"), ["anchor"], "m", segs.count(), "left"), "crowded-segs")
+    known = looked_up(runs.drop("several"), segs, ["anchor", "seg"], "n", total)
     flag = F.struct(
         "first", "last", "anchor", "seg", (F.col("n") > 1).alias("whole"),
         (F.col("several") & (F.col("where") == place)).alias("rep"), F.col("m").isNotNull().alias("crowd"),
