@@ -1,6 +1,6 @@
 """Dashboard queries over the alert table: counts, charts, pages and feeds."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade import fixed
@@ -87,10 +87,15 @@ def page(alerts: DataFrame, limit: int = PAGE_DEFAULT, skip: int = 0, before: in
         "mitre_attack",
         "predicted_next_attack",
         "confidence",
-        C.iso_utc(F.col("timestamp")).alias("timestamp"),
+        C.iso_utc(F.col("timestamp").cast("double")).alias("timestamp"),
     )
 
 
+def _confidence() -> Column:
+    """The confidence as a number; the alert table keeps it as text."""
+    return F.col("confidence").cast("double")
+
+
 def live_feed(alerts: DataFrame, rows: int = FEED_ROWS) -> DataFrame:
     """The newest alerts as they are shown."""
     newest = alerts.orderBy(F.desc("timestamp"), F.desc("log_id")).limit(rows)
@@ -105,7 +110,7 @@ def live_feed(alerts: DataFrame, rows: int = FEED_ROWS) -> DataFrame:
             F.col("predicted_next_attack") != "",
             F.concat(
                 F.col("predicted_next_attack"),
-                F.when(F.col("confidence") != 0, F.concat(F.lit(" ("), C.percent(F.col("confidence")), F.lit(")"))).otherwise(""),
+                F.when(_confidence() != 0, F.concat(F.lit(" ("), C.percent(_confidence()), F.lit(")"))).otherwise(""),
             ),
         ).alias("next_predicted"),
     )
@@ -126,7 +131,7 @@ def recent_predictions(alerts: DataFrame, newest: int = FEED_ROWS, rows: int = P
             "predicted_next_attack",
             F.replace("event", F.lit("_"), F.lit(" ")).alias("triggered_by"),
             F.coalesce(F.nullif("ip", F.lit("")), F.lit("unknown IP")).alias("ip"),
-            F.when(F.col("confidence") != 0, C.percent(F.col("confidence"))).alias("confidence"),
+            F.when(_confidence() != 0, C.percent(_confidence())).alias("confidence"),
         )
     )
 

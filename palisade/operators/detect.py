@@ -26,7 +26,7 @@ def with_history(
     failed: bool = True,
     frequency: bool = False,
     recent: int = 0,
-    hot: list | None = None,
+    hot: DataFrame | list | None = None,
     limit: int = HOT_ROWS,
     ttl: float = fixed.FREQUENCY_TTL_SECONDS,
 ) -> DataFrame:

@@ -18,7 +18,7 @@ from palisade.operators.quantiles import exact_quantiles
 from palisade.session import materialize
 
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.02, 42
-_NODE = "tree int, node int, feature int, cut double, left int, right int, length double"
+_NODE = "tree int, node int, feature int, cut double, left int, right int, length double, rows int"
 _OVERSAMPLE = 1.5
 _STEPS = (37, 41)  # primes: one of them shares no factor with any usual number of trees
 
@@ -71,15 +71,15 @@ def _grow(sample: int, seed: int):
             low, high = part.min(axis=0), part.max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= deepest or len(usable) == 0:
-                nodes.append([tree, number, -1, 0.0, -1, -1, depth + float(average_path(len(members)))])
+                nodes.append([tree, number, -1, 0.0, -1, -1, depth + float(average_path(len(members))), len(members)])
                 continue
             f = int(rng.choice(usable))
             cut = float(rng.uniform(low[f], high[f]))
-            nodes.append([tree, number, f, cut, -1, -1, 0.0])
+            nodes.append([tree, number, f, cut, -1, -1, 0.0, len(members)])
             goes_left = part[:, f] <= cut
             todo.append((members[~goes_left], depth + 1, number, 5))
             todo.append((members[goes_left], depth + 1, number, 4))
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "length"])
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "length", "rows"])
 
     return build
 

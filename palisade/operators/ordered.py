@@ -20,24 +20,28 @@ HOT_ROWS = 1_000_000
 SLICE_ROWS = 250_000
 MIN_SLICE_ROWS = 5_000
 MAX_SLICES = 20_000
+# Rows per partition of a total sort.
+SORT_ROWS = 1_000_000
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number inside the partition below
 
 
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Keys with more than `limit` rows; there are at most rows/limit of them."""
+def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> DataFrame:
+    """Written table of the keys with more than `limit` rows; its size decides whether joins with it broadcast."""
     counts = df.groupBy(key).count().filter(F.col("count") > limit)
-    return [row[0] for row in counts.select(key).collect()]
+    return materialize(counts.select(key), "hot-keys")
 
 
-def order_index(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+def order_index(df: DataFrame, order: list[str], name: str = "pos", total: int | None = None) -> DataFrame:
     """Number the rows 0,1,2,... in the total order `order` without a single-task sort.
 
     Range partitioning samples the order columns, so a hot key is cut across many partitions. The sorted rows are written
     once; their numbers inside a partition are stored with them, and the driver only sums one row count per partition.
+    The number of rows, `total`, sets the number of partitions.
     """
     spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count() if total is None else total
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SORT_ROWS))
     stored = materialize(
         df.repartitionByRange(slices, *order)
         .sortWithinPartitions(*order)
@@ -97,8 +101,8 @@ class KeyWindows:
 class SlicedOrder:
     """The same columns over equal slices of the total order (key, order...): no task sees more than one slice.
 
-    `prepare` numbers the rows once; what a slice must know about the rows before it is one value per slice (or one per
-    slice and hot key), summed up at the driver.
+    `prepare` numbers the rows once; what a slice must know about the rows before it is one value per slice, summed up at
+    the driver, or one per slice and hot key, summed up in a written table.
     """
 
     def __init__(self, key: str | None, order: list[str]):
@@ -107,8 +111,8 @@ class SlicedOrder:
         self.size = SLICE_ROWS
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        rows = order_index(df, self.order, "_pos")
-        total = rows.count()
+        total = df.count()
+        rows = order_index(df, self.order, "_pos", total)
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         even = max(MIN_SLICE_ROWS, math.ceil(total / (4 * tasks)))
         self.size = max(min(SLICE_ROWS, even), math.ceil(total / MAX_SLICES))
@@ -118,14 +122,9 @@ class SlicedOrder:
         rows = df.withColumn("_counted", F.coalesce(counted, F.lit(False)).cast("bigint")).withColumn(
             "_slice", self._home()
         )
-        sums = rows.groupBy("_slice", self.key).agg(F.sum("_counted").alias("n")).orderBy("_slice").collect()
-        carries, before = [], {}
-        for number, key, n in sums:
-            if before.get(key):
-                carries.append((number, key, before[key]))
-            before[key] = before.get(key, 0) + n
-        kind = df.schema[self.key].dataType.simpleString()
-        carry = inline_table(df.sparkSession, carries, f"_slice bigint, `{self.key}` {kind}, _carry bigint")
+        sums = rows.groupBy("_slice", self.key).agg(F.sum("_counted").alias("n"))
+        earlier = Window.partitionBy(self.key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carry = materialize(sums.select("_slice", self.key, F.sum("n").over(earlier).alias("_carry")), "carries")
         upto = (
             Window.partitionBy("_slice", self.key)
             .orderBy("_pos")
@@ -133,7 +132,7 @@ class SlicedOrder:
         )
         total = F.sum("_counted").over(upto) + F.coalesce("_carry", F.lit(0))
         return (
-            rows.join(F.broadcast(carry), ["_slice", self.key], "left")
+            rows.join(carry, ["_slice", self.key], "left")
             .withColumn(name, F.when(F.col("_counted") == 1, total))
             .select(*df.columns, name)
         )
@@ -192,18 +191,19 @@ def by_heat(
     key: str,
     order: list[str],
     steps: Callable[[DataFrame, KeyWindows | SlicedOrder], DataFrame],
-    hot: list | None = None,
+    hot: DataFrame | list | None = None,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
-    """Apply `steps(rows, windows)` to the cold and the hot keys, each with the windows that fit. `key` is non-null."""
+    """Apply `steps(rows, windows)` to the cold and the hot keys, each with the windows that fit. `key` is non-null.
+
+    `hot` is a written table of the hot keys; an empty list says that there are none, without counting.
+    """
     hot = hot_keys(df, key, limit) if hot is None else hot
-    if not hot:
+    if isinstance(hot, list) or hot.isEmpty():
         return steps(df, KeyWindows(key, order))
-    kind = df.schema[key].dataType.simpleString()
-    listed = inline_table(df.sparkSession, [(k,) for k in hot], f"`{key}` {kind}")
-    cold = steps(df.join(F.broadcast(listed), key, "left_anti"), KeyWindows(key, order))
+    cold = steps(df.join(hot, key, "left_anti"), KeyWindows(key, order))
     slices = SlicedOrder(key, order)
-    heat = steps(slices.prepare(df.join(F.broadcast(listed), key, "left_semi")), slices)
+    heat = steps(slices.prepare(df.join(hot, key, "left_semi")), slices)
     return cold.unionByName(heat.drop("_pos"))
 
 

@@ -10,7 +10,7 @@ from palisade.operators.investigate import investigate
 from palisade.operators.respond import respond
 
 
-def rule_alerts(logs: DataFrame, hot: list | None = None, limit: int = HOT_ROWS) -> DataFrame:
+def rule_alerts(logs: DataFrame, hot: DataFrame | list | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """Rule path: detect, investigate by rule, enrich, respond."""
     return respond(enrich(investigate(detect(with_history(logs, hot=hot, limit=limit)))))
 

@@ -131,9 +131,12 @@ def severity_dataset(flows: DataFrame) -> DataFrame:
     return infinite_to_zero(labelled, features).dropna(subset=features)
 
 
-def preprocess(flows: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Cleaned flows: infinities to null, null labels dropped, medians filled in, labels as codes."""
-    features = features or fixed.FLOW_FEATURES
+def preprocess(flows: DataFrame, features: list[str] | None = None, keys: list[str] = ()) -> DataFrame:
+    """Cleaned flows: infinities to null, null labels dropped, medians filled in, labels as codes.
+
+    All numeric columns but `keys` are cleaned and filled when no features are named.
+    """
+    features = features or [c for c in numeric_columns(flows) if c not in keys]
     clean = drop_null_labels(infinite_to_null(flows, features))
     filled = impute(clean, medians(clean, features))
     return encode(filled, label_mapping(clean), name="label_code")

@@ -22,6 +22,8 @@ from palisade.operators.investigate import (
 from palisade.operators.respond import action_log, exploded_actions, reports
 from palisade.plans.registry import query
 from palisade.plans.sql import RULE_TEXT, context_of, logs, pct
+from palisade.session import new_path
+from palisade.sources import files
 from palisade.sources.adapters import soc_logs
 
 
@@ -424,23 +426,27 @@ def alerts_by_severity_tactic(spark, sf_dir) -> DataFrame:
             CAST(floor("timestamp") AS BIGINT) AS epoch FROM enr"""),
 )
 def persist_projection(spark, sf_dir) -> DataFrame:
-    from palisade.sources.files import stored_form
-
-    rows = stored_form(_predicted_alerts(spark, sf_dir), "remediated")
+    rows = files.stored_form(_predicted_alerts(spark, sf_dir), "remediated")
     return rows.withColumn("epoch", F.floor(F.col("timestamp").cast("double"))).drop("timestamp", "agent_source")
 
 
 # --- dashboard --------------------------------------------------------------------------------------------------------
 
 
+def _stored(alerts: DataFrame) -> DataFrame:
+    """The remediated alerts of an alert table; what the dashboard asks is asked of the table."""
+    path = new_path(alerts.sparkSession, "alerts")
+    files.append_alerts(alerts, path, "remediated")
+    return files.read_alerts(alerts.sparkSession, path).filter("stage = 'remediated'")
+
+
 @query(
     "alert_stats",
     logs("""SELECT count(*) AS total_alerts, count(*) FILTER (WHERE severity='CRITICAL') AS critical_count,
             count(*) FILTER (WHERE ev ILIKE '%malware%') AS malware_count FROM det"""),
 )
 def alert_stats(spark, sf_dir) -> DataFrame:
-    rows = with_history(soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip"))
-    return analytics.alert_stats(detect(rows))
+    return analytics.alert_stats(_stored(_rule_alerts(spark, sf_dir)))
 
 
 @query(
@@ -450,8 +456,7 @@ def alert_stats(spark, sf_dir) -> DataFrame:
             LEFT JOIN (SELECT severity, count(*) AS n FROM det GROUP BY severity) c ON c.severity=l.severity"""),
 )
 def severity_chart(spark, sf_dir) -> DataFrame:
-    rows = with_history(soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip"))
-    return analytics.severity_chart(detect(rows))
+    return analytics.severity_chart(_stored(_rule_alerts(spark, sf_dir)))
 
 
 @query(
@@ -460,8 +465,7 @@ def severity_chart(spark, sf_dir) -> DataFrame:
             LEFT JOIN (SELECT severity, count(*) AS n FROM det GROUP BY severity) c ON c.severity=l.severity"""),
 )
 def severity_counts(spark, sf_dir) -> DataFrame:
-    rows = with_history(soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip"))
-    counts = analytics.severity_counts(detect(rows))
+    counts = analytics.severity_counts(_stored(_rule_alerts(spark, sf_dir)))
     return counts.select(F.explode("severity_counts").alias("severity", "n"))
 
 
@@ -488,19 +492,19 @@ _ISO = """concat(strftime(make_timestamp(CAST(floor("timestamp"*1e6+0.5) AS BIGI
 @query(
     "alerts_page",
     logs(f"""SELECT log_id AS id, ev AS event, severity, ip, "user", investigation, mitre_attack, predicted_next_attack,
-            confidence, {_ISO} AS "timestamp" FROM enr ORDER BY log_id DESC LIMIT 100 OFFSET 50"""),
+            CASE WHEN confidence<>0 THEN CAST(confidence AS VARCHAR) END AS confidence, {_ISO} AS "timestamp" FROM enr ORDER BY log_id DESC LIMIT 100 OFFSET 50"""),
 )
 def alerts_page(spark, sf_dir) -> DataFrame:
-    return analytics.page(_predicted_alerts(spark, sf_dir), limit=100, skip=50)
+    return analytics.page(_stored(_predicted_alerts(spark, sf_dir)), limit=100, skip=50)
 
 
 @query(
     "alerts_page_keyset",
     logs(f"""SELECT log_id AS id, ev AS event, severity, ip, "user", investigation, mitre_attack, predicted_next_attack,
-            confidence, {_ISO} AS "timestamp" FROM enr WHERE log_id < 900 ORDER BY log_id DESC LIMIT 500"""),
+            CASE WHEN confidence<>0 THEN CAST(confidence AS VARCHAR) END AS confidence, {_ISO} AS "timestamp" FROM enr WHERE log_id < 900 ORDER BY log_id DESC LIMIT 500"""),
 )
 def alerts_page_keyset(spark, sf_dir) -> DataFrame:
-    return analytics.page(_predicted_alerts(spark, sf_dir), limit=5000, before=900)
+    return analytics.page(_stored(_predicted_alerts(spark, sf_dir)), limit=5000, before=900)
 
 
 @query(
@@ -511,7 +515,7 @@ def alerts_page_keyset(spark, sf_dir) -> DataFrame:
             FROM enr ORDER BY "timestamp" DESC, log_id DESC LIMIT 20"""),
 )
 def live_feed(spark, sf_dir) -> DataFrame:
-    return analytics.live_feed(_predicted_alerts(spark, sf_dir))
+    return analytics.live_feed(_stored(_predicted_alerts(spark, sf_dir)))
 
 
 @query(
@@ -522,7 +526,7 @@ def live_feed(spark, sf_dir) -> DataFrame:
             WHERE predicted_next_attack<>'' AND predicted_next_attack<>'BENIGN' ORDER BY log_id DESC LIMIT 5"""),
 )
 def recent_predictions(spark, sf_dir) -> DataFrame:
-    return analytics.recent_predictions(_predicted_alerts(spark, sf_dir))
+    return analytics.recent_predictions(_stored(_predicted_alerts(spark, sf_dir)))
 
 
 def _rates(spark, sf_dir, every, slide=None) -> DataFrame:

@@ -111,16 +111,19 @@ def schema_evolve(spark, sf_dir) -> DataFrame:
     return files.add_missing_columns(older, schema).unionByName(current)
 
 
-@query(
-    "alert_store",
-    logs("""SELECT log_id, 'remediated' AS stage, ev AS event, severity, ip, "user", investigation, mitre_attack FROM rule_enr"""),
-)
+TWO_STAGES = """SELECT log_id, 'remediated' AS stage, ev AS event, severity, ip, "user", investigation, mitre_attack FROM rule_enr
+ UNION ALL SELECT log_id, 'detected', ev, severity, ip, "user", NULL, NULL FROM rule_enr"""
+
+
+@query("alert_store", logs(TWO_STAGES))
 def alert_store(spark, sf_dir) -> DataFrame:
-    """Alerts appended in two parts, one of them twice, and read back: every alert is stored once."""
-    alerts = _alerts(spark, sf_dir)
+    """Alerts of both stages, a fifth without a time, appended in two parts, one of them twice: each is stored once."""
+    alerts = _alerts(spark, sf_dir).withColumn("timestamp", F.when(F.col("log_id") % 5 != 0, F.col("timestamp")))
+    alerts = materialize(alerts, "alerts")
     path = new_path(spark, "alerts")
-    files.append_alerts(alerts.filter("log_id % 3 <> 0"), path, "remediated")
-    files.append_alerts(alerts, path, "remediated")
+    for stage in ("detected", "remediated"):
+        files.append_alerts(alerts.filter("log_id % 3 <> 0"), path, stage)
+        files.append_alerts(alerts, path, stage)
     stored = files.read_alerts(spark, path)
     return stored.select("log_id", "stage", "event", "severity", "ip", "user", "investigation", "mitre_attack")
 
@@ -188,5 +191,5 @@ def sequence_files(spark, sf_dir) -> DataFrame:
 def preprocess_flows(spark, sf_dir) -> DataFrame:
     """The cleaned data set: infinities and nulls filled with medians, labels coded, written as a table and read back."""
     path = new_path(spark, "processed")
-    prep.preprocess(network_flows(spark, sf_dir)).write.parquet(path)
+    prep.preprocess(network_flows(spark, sf_dir), keys=[*FLOW_KEY, "file_id"]).write.parquet(path)
     return spark.read.parquet(path).select(*shown_key(), "label_code", *rounded_features(4))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.plans.logs import _MICROS, _SUMMARY
 from palisade.plans.registry import query
+from palisade.plans.stores import TWO_STAGES
 from palisade.plans.sql import logs
 from palisade.session import new_path
 from palisade.sources import files
@@ -63,14 +64,14 @@ def stream_history_(spark, sf_dir) -> DataFrame:
 
 @query(
     "stream_alert_store",
-    logs("""SELECT log_id, ev AS event, severity, ip, "user", investigation, mitre_attack FROM rule_enr"""),
+    logs(TWO_STAGES),
 )
 def stream_alert_store(spark, sf_dir) -> DataFrame:
-    """Records to remediated alerts in the alert table."""
+    """Records to alerts in the alert table, as detected and as remediated."""
     table, state = new_path(spark, "alerts"), new_path(spark, "state")
     replay(spark, sf_dir, lambda records, _: jobs.store_alerts(jobs.stream_alerts(records), table, state, availableNow=True))
     stored = files.read_alerts(spark, table)
-    return stored.select("log_id", "event", "severity", "ip", "user", "investigation", "mitre_attack")
+    return stored.select("log_id", "stage", "event", "severity", "ip", "user", "investigation", "mitre_attack")
 
 
 @query("stream_summary", logs(_SUMMARY))

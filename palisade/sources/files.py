@@ -13,6 +13,8 @@ CORRUPT = "_corrupt"
 # where a record stands in its source; names records that come without an id
 RECORD_KEY = "record_key"
 UNDATED = "0001-01-01"
+# what an alert does not have yet when it is stored on detection
+LATER = ("investigation", "mitre_attack", "predicted_next_attack", "confidence")
 
 
 # --- flow CSV ---------------------------------------------------------------------------------------------------------
@@ -132,9 +134,10 @@ def append_alerts(alerts: DataFrame, path: str, stage: str) -> None:
 
     The table is partitioned by stage and day, so a repeated batch is compared with its own days only. The day is the
     record's own, never the clock's: records without a timestamp share one. The append itself is one job whose files
-    appear on commit.
+    appear on commit. Stage `detected` leaves out what later stages add.
     """
     spark = alerts.sparkSession
+    alerts = alerts.drop(*LATER) if stage == "detected" else alerts
     own = F.col("_seconds").cast("string").try_cast("double") if "timestamp" in alerts.columns else F.lit(None)
     dated = alerts.withColumn("_seconds", F.col("timestamp")) if "timestamp" in alerts.columns else alerts
     day = F.when(own.isNotNull(), F.to_date(C.alert_time(own))).otherwise(F.lit(UNDATED).cast("date"))

@@ -52,7 +52,7 @@ def stream_alerts(
 
 
 def store_alerts(alerts: DataFrame, table: str, checkpoint: str, outputs: str | None = None, **trigger) -> StreamingQuery:
-    """Append remediated alerts to the alert table, and with `outputs` the action log and the incident reports too.
+    """Append alerts to the alert table, as detected and as remediated, and with `outputs` the action log and the reports.
 
     A micro-batch that is run again after a failure adds nothing twice: the table skips known ids and the other outputs
     are written to a folder of their batch number.
@@ -65,7 +65,8 @@ def store_alerts(alerts: DataFrame, table: str, checkpoint: str, outputs: str |
         path = f"{staging}/{number % 2}"
         batch.write.mode("overwrite").parquet(path)
         rows = batch.sparkSession.read.schema(batch.schema).parquet(path)
-        files.append_alerts(rows, table, "remediated")
+        for stage in ("detected", "remediated"):
+            files.append_alerts(rows, table, stage)
         if outputs:
             action_log(rows).write.mode("overwrite").json(f"{outputs}/actions/batch={number}")
             files.write_reports(reports(rows), f"{outputs}/reports/batch={number}")

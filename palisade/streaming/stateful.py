@@ -44,7 +44,8 @@ class AddressHistory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         batch.columns = self.columns  # names that are no Python identifiers arrive as positions
-        batch = batch.sort_values(["timestamp", "log_id"], ignore_index=True)
+        # rows without a time come first, as in the batch windows
+        batch = batch.sort_values(["timestamp", "log_id"], na_position="first", ignore_index=True)
         failed, frequency, last_seen, recent = self.state.get() if self.state.exists() else (0, 0, None, [])
         events = batch["event"].fillna("unknown").tolist()
 
@@ -53,13 +54,17 @@ class AddressHistory(StatefulProcessor):
         batch["failed_login_count"] = pd.array(totals, dtype="Int64")
         batch.loc[~counted, "failed_login_count"] = pd.NA
 
-        seen = batch["timestamp"].to_numpy(dtype=float)
-        before = np.concatenate([[np.nan if last_seen is None else last_seen], seen[:-1]])
-        place = np.arange(len(batch))
-        fresh = np.isnan(before) | (seen - before > self.silence)
-        start = np.maximum.accumulate(np.where(fresh, place, -1))
-        since = place - start + 1
-        since[start < 0] = frequency + place[start < 0] + 1
+        since = np.ones(len(batch), np.int64)  # a row without a time stands alone and does not end a run of others
+        dated = batch["timestamp"].notna().to_numpy()
+        if dated.any():
+            seen = batch["timestamp"].to_numpy(dtype=float)[dated]
+            before = np.concatenate([[np.nan if last_seen is None else last_seen], seen[:-1]])
+            place = np.arange(len(seen))
+            fresh = np.isnan(before) | (seen - before > self.silence)
+            start = np.maximum.accumulate(np.where(fresh, place, -1))
+            since[dated] = np.where(start < 0, frequency + place + 1, place - start + 1)
+            frequency = int(since[dated][-1])
+            last_seen = float(seen[-1] if last_seen is None else max(last_seen, seen[-1]))
         batch["attack_frequency"] = since
 
         history = list(recent or []) + events
@@ -67,10 +72,7 @@ class AddressHistory(StatefulProcessor):
         batch["recent_events"] = [
             history[max(0, had + i + 1 - self.recent) : had + i + 1] for i in range(len(events))
         ]
-        known = [v for v in (last_seen, *seen[~np.isnan(seen)][-1:]) if v is not None]
-        self.state.update(
-            (int(totals[-1]), int(since[-1]), float(max(known)) if known else None, history[-self.recent :])
-        )
+        self.state.update((int(totals[-1]), frequency, last_seen, history[-self.recent :]))
         yield batch
 
     def close(self) -> None:
