@@ -228,16 +228,18 @@ def brute_repeats(rows, split, join, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("crowd", [False, True])
-def test_repeated_bytes(spark, place, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, share", [(False, 1e-3), (True, 1e-3), (True, 2)])
+def test_repeated_bytes(spark, place, monkeypatch, crowd, share):
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
     if crowd:
         monkeypatch.setattr(repeats, "CROWD", 1)
     got = sorted(map(tuple, result(spark, place, "op4_repeated_bytes").collect()), key=repr)
     assert got == brute_repeats(texts(spark, place), bytes, b"".join, 400)
 
 
-@pytest.mark.parametrize("crowd", [False, True])
-def test_repeated_words(spark, place, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd, share", [(False, 1e-3), (True, 1e-3), (True, 2)])
+def test_repeated_words(spark, place, monkeypatch, crowd, share):
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
     if crowd:
         monkeypatch.setattr(repeats, "CROWD", 1)
     got = sorted(map(tuple, result(spark, place, "op6_repeated_words").collect()), key=repr)
