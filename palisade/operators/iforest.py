@@ -187,11 +187,11 @@ def fit(
     seed: int = SEED,
 ) -> Forest:
     """Clean, fill, scale, grow, and set the threshold at the `contamination` quantile of the training scores."""
-    clean = prep.infinite_to_null(df.select(*key, *columns), columns)
+    # the training matrix is read several times: written once, whatever made the rows is not run again
+    clean = materialize(prep.infinite_to_null(df.select(*key, *columns), columns), "training")
     medians = prep.medians(clean, columns)
-    # the training matrix is read four more times: written once, whatever made the rows is not run again
-    filled = materialize(prep.impute(clean, medians), "training")
-    total = filled.count()
+    filled = prep.impute(clean, medians)
+    total = clean.count()
     scaler = prep.scaler(filled, columns)
     nodes = materialize(grow_forest(prep.scale(filled, scaler), total, key, columns, trees, sample, seed), "forest")
     forest = Forest(columns, medians, scaler, nodes, min(sample, total))
