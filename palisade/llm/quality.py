@@ -1,8 +1,8 @@
 """Quality rules: counts of a text's words, symbols and repetitions, and a modified Kneser-Ney model of its spelling.
 
-The model's n-grams run over 32 classes of bytes, so its size has a proven bound (32**4 per language) whatever the
-corpus. Spark counts them over all texts and forms the discounted probabilities; they are broadcast as arrays sorted by
-n-gram code. Texts outside their language's band of log perplexity are rejected.
+The model (ngrams.py) has a row for every 4-gram of the corpus. Texts outside their language's band of log perplexity are
+rejected. The functions on 32 byte classes, ngram_counts() to log_probabilities(), are the former model: no query calls
+them any more, only test_language_model_sums_to_one.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.llm import ngrams
 from palisade.llm.common import Rolling, Texts, as_bytes, chunks, mix, text_of
 from palisade.session import inline_table, materialize
 
@@ -191,34 +192,36 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, the base counts and log_perplexity (null without bytes) of every row."""
-    arrays = docs.sparkSession.sparkContext.broadcast(sorted_arrays(kneser_ney(materialize(ngram_counts(docs), "ngrams"))))
-    kind = dict(docs.dtypes)["doc_id"]
+    """doc_id, text_hash, lang, the base counts and log_perplexity (null without characters) of every row."""
+    lang, text = _lang_text(docs)
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), lang, text)
+    rows = rows.withColumn("model", ngrams.model_name(F.col("lang"), ngrams.half(F.col("text_hash"))))
+    kinds, names = dict(rows.dtypes), ["doc_id", "text_hash", "lang", "model"]
+    model = ngrams.fitted(rows)
+    small = model.count() <= ngrams.BROADCAST_ROWS
+    arrays = docs.sparkSession.sparkContext.broadcast(ngrams.sorted_arrays(model)) if small else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.stack([log_probabilities(arrays.value, lang) for lang in range(len(LANGUAGES) + 1)])
         for batch in batches:
-            texts, langs = as_bytes(batch.column(3)), batch.column(2).to_numpy()
-            found: dict[str, list] = {c: [] for c in [*COUNTS, "log_perplexity"]}
+            texts = as_bytes(batch.column(4))
+            found: dict[str, list] = {c: [] for c in COUNTS}
             for begin, end in chunks(texts):
                 for name, values in base_counts(texts[begin:end]).items():
                     found[name].append(values)
-                codes, start, stop = _codes(texts[begin:end])
-                lang = np.repeat(langs[begin:end], stop - start + ORDER - 1)
-                value = logs[lang, codes[ORDER - 1 :]]
-                sums = np.concatenate([np.zeros(ORDER), np.cumsum(value, dtype=np.float64)])
-                with np.errstate(invalid="ignore"):
-                    found["log_perplexity"].append((sums[start] - sums[stop]) / (stop - start))
-            columns = {name: batch.column(i) for i, name in enumerate(["doc_id", "text_hash", "lang"])}
+            columns = {name: batch.column(i) for i, name in enumerate(names)}
             for name in COUNTS:
                 columns[name] = pa.array(np.concatenate([np.zeros(0, np.int64), *found[name]]).astype(np.int64))
-            columns["log_perplexity"] = pa.array(np.concatenate([np.zeros(0), *found["log_perplexity"]]), from_pandas=True)
+            if arrays is not None:
+                columns["log_perplexity"] = pa.array(ngrams.log_perplexities(arrays.value, batch.column(3), texts), from_pandas=True)
             yield pa.record_batch(columns)
 
-    lang, text = _lang_text(docs)
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), lang, text)
-    counts = ", ".join(f"{c} long" for c in COUNTS)
-    return rows.mapInArrow(score, f"doc_id {kind}, text_hash long, lang int, {counts}, log_perplexity double")
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in names], *[f"{c} long" for c in COUNTS], *["log_perplexity double"] * small])
+    scored = rows.select(*names, "text").mapInArrow(score, schema)
+    if not small:
+        found = ngrams.joined_perplexities(rows, model)
+        keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_hash", "model")]
+        scored = scored.alias("a").join(found.alias("b"), keys, "left").select("a.*", "b.log_perplexity")
+    return scored.drop("model")
 
 
 def judged(docs: DataFrame, band: float = BAND) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import difference
-from palisade.llm import common, contamination, hilbert, lines, mixing, nearcopies, personal, quality, queries, repeats, suffix, tokens
+from palisade.llm import common, contamination, hilbert, lines, mixing, nearcopies, ngrams, personal, quality, queries, repeats, suffix, tokens
 from palisade.llm.suffix import permuted_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -324,6 +324,39 @@ def test_bands_reject_other_spelling(spark):
     assert [r["kept"] for r in scored if r["doc_id"] == 1000] == [False]
 
 
+def scripted(letters, seed, n):
+    """Texts of words whose letters keep to a few combinations."""
+    rng = np.random.default_rng(seed)
+    parts = ["".join(rng.choice(list(letters), 3)) for _ in range(9)]
+    return [" ".join("".join(rng.choice(parts, 3)) for _ in range(90)) for _ in range(n)]
+
+
+CYRILLIC, HAN = "бвгдежзиклмнопрст", "的一是不了人我在有他这为之大来以个"
+
+
+@pytest.mark.parametrize("rows", [ngrams.BROADCAST_ROWS, 0])
+def test_bands_reject_random_letters_of_any_script(spark, monkeypatch, rows):
+    monkeypatch.setattr(ngrams, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(9)
+    prose, gibberish = [], []
+    for k, (lang, letters) in enumerate({"es": CYRILLIC, "fr": HAN}.items()):
+        prose += [(1000 * k + i, text, lang) for i, text in enumerate(scripted(letters, k, 120))]
+        gibberish.append((1000 * k + 999, re.sub(r"\S", lambda m: str(rng.choice(list(letters))), prose[-1][1]), lang))
+    docs = spark.createDataFrame(prose + gibberish, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judged(docs).collect()}
+    assert [kept[d] for d, _, _ in gibberish] == [False, False]
+    assert sum(kept[d] for d, _, _ in prose) >= 0.95 * len(prose)
+
+
+def test_model_over_units_sums_to_one(spark):
+    rows = spark.createDataFrame([("0", "да нет да 😀 нет"), ("0", "abcabd"), ("0", None)], "model string, text string")
+    counts = ngrams.ngram_counts(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+    assert counts.agg(F.sum("n")).first()[0] == len("да нет да 😀 нет") + 1 + 6
+    context = sum(ord(c) << 16 * (2 - i) for i, c in enumerate("abc"))
+    wanted = spark.range(0, 1 << 16).select(F.lit("0").alias("model"), (F.lit(context << 16) + F.col("id")).alias("code"))
+    assert abs(ngrams.probabilities(counts, wanted).agg(F.sum("p")).first()[0] - 1) < 1e-9
+
+
 def test_near_phrases(spark):
     docs = spark.createDataFrame([(1, "x the quick brown fox y"), (2, "fox the brown quick"), (3, "fox only")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "the quick brown fox")], "item_id long, text string")
