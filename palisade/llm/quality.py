@@ -1,8 +1,8 @@
 """Quality rules: counts of a text's words, symbols and repetitions, and a modified Kneser-Ney model of its spelling.
 
 The model (ngrams.py) has a row for every 4-gram of the corpus. Texts outside their language's band of log perplexity are
-rejected. The functions on 32 byte classes, ngram_counts() to log_probabilities(), are the former model: no query calls
-them any more, only test_language_model_sums_to_one.
+rejected; every value of lang, null too, is a language of its own. The functions on 32 byte classes, language() to
+log_probabilities(), are the former model: no query calls them any more, only test_language_model_sums_to_one.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from palisade.llm import ngrams
 from palisade.llm.common import Rolling, Texts, as_bytes, chunks, mix, text_of
-from palisade.session import inline_table, materialize
+from palisade.session import checked_broadcast, materialize
 
 ORDER, CLASSES = 4, 32
-#: Languages with a model of their own; all others share one.
+#: Languages of the former model; judged() takes them from the data.
 LANGUAGES = ("de", "en", "es", "fr")
 #: Texts further than so many interquartile ranges from their language's middle half are rejected.
 BAND = 3.5
@@ -61,7 +61,7 @@ def language(column: Column) -> Column:
 
 def _lang_text(docs: DataFrame) -> tuple[Column, Column]:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return language(lang).alias("lang"), text_of().alias("text")
+    return lang.alias("lang"), text_of().alias("text")
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                 {"lang": pa.array(np.full(len(code), lang, np.int32)), "code": pa.array(code.astype(np.int64)), "n": pa.array(row[code])}
             )
 
-    found = docs.select(*_lang_text(docs)).mapInArrow(count, "lang int, code long, n long")
+    lang, text = _lang_text(docs)
+    found = docs.select(language(lang).alias("lang"), text).mapInArrow(count, "lang int, code long, n long")
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -228,23 +229,26 @@ def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
     """scores() with base_failed, low and high (the language's band) and kept.
 
     Bands are quartiles over all texts of a language that pass the base rules, widened by band times their distance. A
-    null or empty text has no words and fails the base rules; rows alike in doc_id and text get the same verdict; an
-    unknown or null language uses the shared model; an empty table gives an empty result; other columns are not read.
+    null or empty text has no words and fails the base rules; rows alike in doc_id, lang and text get the same verdict;
+    every value of lang is a language of its own, and so is null; an empty table gives an empty result; other columns
+    are not read.
     """
-    spark = docs.sparkSession
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = materialize(scores(docs).withColumn("base_failed", failed), "quality")
     quarters = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000))
-    found = scored.where("not base_failed").groupBy("lang").agg(quarters.alias("q")).collect()  # a row for each language
-    bands = [(r["lang"], r["q"][0] - band * (r["q"][1] - r["q"][0]), r["q"][1] + band * (r["q"][1] - r["q"][0])) for r in found]
-    table = inline_table(spark, bands or [(-1, 0.0, 0.0)], "lang int, low double, high double")
+    found = scored.where("not base_failed").groupBy(F.col("lang").alias("_lang")).agg(quarters.alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    table = checked_broadcast(found.select("_lang", (low - band * (high - low)).alias("low"), (high + band * (high - low)).alias("high")))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return scored.join(F.broadcast(table), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    placed = scored.join(table, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return placed.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    good = judged(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    good = judged(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of("_row.text")) == F.col("_hash"))
+    if "lang" in docs.columns:
+        same = same & F.col("_row.lang").cast("string").eqNullSafe(F.col("_lang"))
     return rows.join(good, same, "left_semi").select("_row.*")

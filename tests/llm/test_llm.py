@@ -348,6 +348,13 @@ def test_bands_reject_random_letters_of_any_script(spark, monkeypatch, rows):
     assert sum(kept[d] for d, _, _ in prose) >= 0.95 * len(prose)
 
 
+def test_every_language_of_the_data_has_a_band(spark):
+    groups = [("it", "bcdefghilmnopqrst", 300), ("ru", CYRILLIC, 12), (None, HAN, 12)]
+    rows = [(1000 * k + i, text, lang) for k, (lang, letters, n) in enumerate(groups) for i, text in enumerate(scripted(letters, k, n))]
+    kept = Counter(r["lang"] for r in quality.kept_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert all(kept[lang] >= 0.9 * n for lang, _, n in groups)
+
+
 def test_model_over_units_sums_to_one(spark):
     rows = spark.createDataFrame([("0", "да нет да 😀 нет"), ("0", "abcabd"), ("0", None)], "model string, text string")
     counts = ngrams.ngram_counts(rows.withColumn("text", F.coalesce("text", F.lit(""))))
