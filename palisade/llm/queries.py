@@ -7,12 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens
+from palisade.llm import collocations, contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens
 from palisade.llm.common import documents
-from palisade.llm.sql import CONTAMINATION, LINES, MIX
+from palisade.llm.sql import COLLOCATIONS, CONTAMINATION, LINES, MIX
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op1_mix_curriculum": MIX, "op8_contamination": CONTAMINATION, "op10_line_runs": LINES}
+ORACLE: dict[str, str] = {
+    "op1_mix_curriculum": MIX,
+    "op8_contamination": CONTAMINATION,
+    "op10_line_runs": LINES,
+    "op13_collocations": COLLOCATIONS,
+}
 
 
 def query(function):
@@ -95,6 +100,11 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir)).drop("words")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

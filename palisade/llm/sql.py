@@ -79,3 +79,30 @@ SELECT any_value(docs.doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CAST(gone
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked JOIN docs USING (row) GROUP BY row
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+counted AS (
+  SELECT lang, w[i:i + k - 1] AS p, k, count(*) AS a
+  FROM places, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.p, c.k, c.a, x.a AS l, y.a AS r, c.j, CAST((2000000::HUGEINT * c.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM counted WHERE k > 1) c
+  JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:c.j] JOIN counted y ON y.lang = c.lang AND y.p = c.p[c.j + 1:c.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+inner_parts AS (
+  SELECT lang, p[s:s + m - 1] AS p, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM counted WHERE k > 2))
+  GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, a, l, r, score
+  FROM best b LEFT JOIN inner_parts i USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN sizes USING (lang) WHERE rank <= 2000
+"""
