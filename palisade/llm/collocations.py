@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import as_bytes, mix, text_of
+from palisade.llm.common import as_bytes, mix, packed, text_of, unpacked
 from palisade.session import materialize
 
 SUPPORT, LONGEST = 30, 4
@@ -37,20 +37,6 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(_ENDS) + b" ")
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """An array with its type and length, compressed."""
-    top = int(values.max(initial=0)) if values.min(initial=0) >= 0 else 1 << 40
-    kind = "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8"
-    body = pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True)
-    return kind[1:].encode() + len(values).to_bytes(8, "little") + body
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    kind, n = np.dtype("<" + data[:2].decode()), int.from_bytes(data[2:10], "little")
-    body = pa.decompress(data[10:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
-    return np.frombuffer(body, kind).astype(np.int64)
-
-
 def _cut(text: bytes, limit: int) -> Iterator[bytes]:
     """A text in parts of at most limit bytes that end with a piece; a longer piece is a part of its own."""
     begin = 0
@@ -76,7 +62,7 @@ def occurrences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         number = np.zeros(len(words), np.int64)
         number[order] = np.arange(1, len(order) + 1)
         of = number[code[kind[code] > 0]]
-        return [[chunk], [lang], [int(counts[order].sum())], [[words[i] for i in order]], [_packed(of)]], len(order) > 0
+        return [[chunk], [lang], [int(counts[order].sum())], [[words[i] for i in order]], [packed(of)]], len(order) > 0
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -153,7 +139,7 @@ def _answers(part: int, chunks: list[int], sizes: list[int], key: np.ndarray, su
     answers = {
         "chunk": chunks,
         "part": [part] * len(chunks),
-        "names": [_packed(own[a:b]) for a, b in zip(edges[:-1], edges[1:])],
+        "names": [packed(own[a:b]) for a, b in zip(edges[:-1], edges[1:])],
     }
     counts = {"name": named[frequent], "a": sums[frequent], **{c: v.filter(pa.array(frequent)) for c, v in columns.items()}}
 
@@ -169,10 +155,10 @@ def frequent_words(relation: DataFrame, ranges: int, support: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, lang, words, of in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                n = np.bincount(_unpacked(of), minlength=len(words) + 1)[1:]
+                n = np.bincount(unpacked(of), minlength=len(words) + 1)[1:]
                 order, part = _by_range(words, ranges)
                 found = [
-                    (p, chunk, lang, [words[i] for i in order[at]], _packed(n[order[at]])) for p, at in _ranges(part)
+                    (p, chunk, lang, [words[i] for i in order[at]], packed(n[order[at]])) for p, at in _ranges(part)
                 ]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()), pa.binary()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["part", "chunk", "lang", "words", "n"])
@@ -182,7 +168,7 @@ def frequent_words(relation: DataFrame, ranges: int, support: int) -> DataFrame:
         sizes = np.diff(rows["words"].combine_chunks().offsets.to_numpy())
         words = rows["words"].combine_chunks().flatten()
         lang = rows["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-        n = np.concatenate([_unpacked(x) for x in rows["n"].to_pylist()])
+        n = np.concatenate([unpacked(x) for x in rows["n"].to_pylist()])
         entries = pa.table({"lang": lang, "word": words, "n": n, "at": np.arange(len(n))})
         groups = entries.group_by(["lang", "word"]).aggregate([("n", "sum"), ("at", "list")])
         groups = groups.sort_by([("lang", "ascending"), ("word", "ascending")]).combine_chunks()
@@ -205,15 +191,15 @@ def frequent_joins(relation: DataFrame, ranges: int, support: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, of, names in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                _, _, part, prefix, rest, n = _join(_unpacked(of), _unpacked(names), ranges)
-                found = [(p, chunk, *(_packed(x[at]) for x in (prefix, rest, n))) for p, at in _ranges(part)]
+                _, _, part, prefix, rest, n = _join(unpacked(of), unpacked(names), ranges)
+                found = [(p, chunk, *(packed(x[at]) for x in (prefix, rest, n))) for p, at in _ranges(part)]
                 if found:
                     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["part", "chunk", "prefix", "rest", "n"])
 
     def sums(table: pa.Table) -> pa.Table:
         rows = table.sort_by("chunk").combine_chunks()
-        parts = {c: [_unpacked(x) for x in rows[c].to_pylist()] for c in ("prefix", "rest", "n")}
+        parts = {c: [unpacked(x) for x in rows[c].to_pylist()] for c in ("prefix", "rest", "n")}
         sizes = [len(x) for x in parts["n"]]
         prefix, rest, n = (np.concatenate(parts[c]) for c in ("prefix", "rest", "n"))
         order = np.lexsort((rest, prefix))
@@ -235,8 +221,8 @@ def kept_places(relation: DataFrame, answers: DataFrame, ranges: int, first: boo
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list = [[], [], []]
         if left.num_rows and right.num_rows:
-            of = _unpacked(left["of"][0].as_py())
-            names = np.concatenate([_unpacked(x) for x in right.sort_by("part")["names"].to_pylist()])
+            of = unpacked(left["of"][0].as_py())
+            names = np.concatenate([unpacked(x) for x in right.sort_by("part")["names"].to_pylist()])
             if first:
                 words = left["words"][0].as_py()
                 order, _ = _by_range(words, ranges)
@@ -244,12 +230,12 @@ def kept_places(relation: DataFrame, answers: DataFrame, ranges: int, first: boo
                 rank[order] = np.arange(len(words))
                 rank = rank[of[at] - 1]
             else:
-                at, rank = _join(of, _unpacked(left["names"][0].as_py()), ranges)[:2]
+                at, rank = _join(of, unpacked(left["names"][0].as_py()), ranges)[:2]
             number = np.where(names > 0, np.cumsum(names > 0), 0)
             found = np.zeros(len(of), np.int64)
             found[at] = number[rank]
             if found.any():
-                out = [[left["chunk"][0].as_py()], [_packed(found)], [_packed(names[names > 0])]]
+                out = [[left["chunk"][0].as_py()], [packed(found)], [packed(names[names > 0])]]
         kinds = [pa.int64(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["chunk", "of", "names"])
 

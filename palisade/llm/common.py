@@ -115,6 +115,20 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array with its type and length, compressed."""
+    top = int(values.max(initial=0)) if values.min(initial=0) >= 0 else 1 << 40
+    kind = "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<i8"
+    body = pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True)
+    return kind[1:].encode() + len(values).to_bytes(8, "little") + body
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    kind, n = np.dtype("<" + data[:2].decode()), int.from_bytes(data[2:10], "little")
+    body = pa.decompress(data[10:], decompressed_size=n * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(body, kind).astype(np.int64)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Every column inside one struct, so that no further column can clash with names of the input."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -7,15 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import collocations, contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens
+from palisade.llm import collocations, contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens, treap
 from palisade.llm.common import documents
-from palisade.llm.sql import COLLOCATIONS, CONTAMINATION, LINES, MIX
+from palisade.llm.sql import COLLOCATIONS, CONTAMINATION, LINES, MIX, RANKED
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {
     "op1_mix_curriculum": MIX,
     "op8_contamination": CONTAMINATION,
     "op10_line_runs": LINES,
+    "op11_ranked_search": RANKED,
     "op13_collocations": COLLOCATIONS,
 }
 
@@ -100,6 +101,12 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return treap.ranked(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir)).drop("words")

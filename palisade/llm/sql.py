@@ -106,3 +106,27 @@ ranked AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked)
 SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN sizes USING (lang) WHERE rank <= 2000
 """
+
+_LEXICAL = """
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
+RANKED = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_LEXICAL} AS w FROM documents),
+sizes AS (SELECT count(*) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM docs WHERE len(w) > 0),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(N) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM counts, sizes GROUP BY term),
+impacts AS (
+  SELECT c.row, d.doc_id, c.term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * N) // L)) AS impact
+  FROM counts c JOIN docs d USING (row), sizes),
+asked AS (SELECT row_number() OVER () AS item, item_id, {_LEXICAL} AS w FROM benchmark),
+terms AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(w) AS term FROM asked) GROUP BY ALL),
+scored AS (
+  SELECT item, row, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score
+  FROM terms JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM placed JOIN asked USING (item) WHERE rank <= 20
+"""
