@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import collocations, contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens, treap
+from palisade.llm import collocations, contamination, hilbert, lines, mixing, nearcopies, personal, quality, repeats, tokens, toxicity, treap
 from palisade.llm.common import documents
 from palisade.llm.sql import COLLOCATIONS, CONTAMINATION, LINES, MIX, RANKED
 
@@ -107,6 +107,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treap.ranked(documents(spark, sf_dir).select("doc_id", "text"), items)
 
 
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir)).drop("words")
