@@ -16,6 +16,7 @@ from palisade.llm.suffix import permuted_prefixes, suffix_array
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, hash string, key string, _id int"
+LABELS = "doc_id long, quality int, toxic int"
 #: (.)(.) many times over, so that several words repeat at long distances.
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(9000)) + "\n" + "a" * 5000
 COPY = " ".join(f"copy{i}" for i in range(130))
@@ -43,6 +44,8 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(path + "/documents.parquet")
     items = [(1, "copy3 Copy4-copy5"), (2, " ".join(f"COPY{i}" for i in range(100, 125))), (3, None), (4, "..."), (None, "w1x1")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    marks = [(4, 1, 0), (5, 1, 1), (8, 0, 0), (8, 0, 1), (10, 1, None), (None, 1, 1), (99, 1, 1)]
+    spark.createDataFrame(marks, LABELS).write.parquet(path + "/labels.parquet")
     return path
 
 
@@ -51,6 +54,7 @@ def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(path + "/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(path + "/labels.parquet")
     return path
 
 
@@ -84,9 +88,9 @@ def test_sql(spark, place, name, tmp_path):
     if glob is None:
         import duckdb
 
-        for table in ("documents", "benchmark"):
+        for table in ("documents", "benchmark", "labels"):
             duckdb.sql(f"COPY (SELECT * FROM '{place}/{table}.parquet/*.parquet') TO '{tmp_path}/{table}.parquet'")
-        for table in "region nation customer supplier part orders lineitem events embeddings pages labels conversations".split():
+        for table in "region nation customer supplier part orders lineitem events embeddings pages conversations".split():
             (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
         glob = str(tmp_path)
     assert difference(rows, glob, queries.ORACLE[name]) is None
