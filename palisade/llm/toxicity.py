@@ -33,7 +33,7 @@ WORD, CHARS, HIDDEN, ATTENTION = 8, 8, 12, 8
 #: A word is known if it occurs in so large a share of the sample's texts; the vectors shrink by DECAY per step and rate,
 #: so that what only a few texts show is not learnt by heart.
 SHARE, DECAY = 0.005, 0.3
-ROUNDS, BATCH, RATE = 8, 128, 0.01
+STEPS, BATCH, RATE = 160, 128, 0.01
 LIMIT = 0.3
 
 
@@ -93,8 +93,8 @@ def new_network(rng: np.random.Generator) -> dict[str, np.ndarray]:
 
     inputs = WORD + CHARS
     return {
-        "word": small(KNOWN + 1, WORD, scale=0.1),  # the last one for unknown words
-        "tri": small(TRIGRAMS, CHARS, scale=0.3),
+        "word": small(KNOWN + 1, WORD, scale=0.02),  # the last one for unknown words
+        "tri": small(TRIGRAMS, CHARS, scale=0.1),
         "wx": small(2, inputs, 3 * HIDDEN, scale=0.4),
         "bx": np.zeros((2, 3 * HIDDEN), np.float32),
         "u": small(2, HIDDEN, 3 * HIDDEN, scale=0.3),
@@ -226,6 +226,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
+def surprise(ids: list[np.ndarray], labels: np.ndarray, words: int) -> np.ndarray:
+    """For each word the log ratio of its shares of the texts with and without the label, in its standard deviations."""
+    seen = np.zeros((2, words))
+    for one, y in zip(ids, labels):
+        seen[y, np.unique(one)] += 1
+    texts = np.bincount(labels, minlength=2)[:, None]
+    odds = np.log((seen + 0.5) / (texts + 1))
+    return (odds[1] - odds[0]) / np.sqrt((1 / (seen + 0.5)).sum(axis=0))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """The network, its known words and the curve. weights say how many rows each text stands for.
 
@@ -253,13 +263,18 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
     at = np.concatenate(filled)
     net = new_network(rng)
     net["bo"][:] = np.log(share / (1 - share))
+    net["word"][: len(common), 0] = np.clip(surprise(ids, labels, len(words))[common] / 2, -2, 2)
     y, importance = labels[text].astype(np.float32), (weights / weights.mean())[text]
+    done = 0
     moments = {name: (np.zeros_like(w), np.zeros_like(w)) for name, w in net.items()}
-    step = 0
-    for turn in range(ROUNDS):
-        if turn % 2 == 0:
-            # in the first turns every window stands for its text
-            out = outputs(net, projected(net, inputs_of(net, known, tri, first)), at) if turn else rng.random(len(at))
+    step = turn = 0
+    while step < STEPS:
+        if turn == 0:
+            out = rng.random(len(at))  # in the first turns any window may stand for its text
+        elif step >= STEPS * (done + 1) / 5:
+            done = 5 * step // STEPS
+            out = outputs(net, projected(net, inputs_of(net, known, tri, first)), at)
+        turn += 1
         order = np.lexsort((out, text))
         highest = order[np.append(text[order][1:] != text[order][:-1], True)]
         lot = rng.permutation(len(at))
@@ -277,7 +292,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int =
             weight = importance[rows] / importance[rows].sum()
             grad, _ = gradients(net, own, own_tri, own_first, place, lambda out: weight * (sigmoid(out) - y[rows]))
             step += 1
-            rate = RATE * (1 - 0.9 * turn / ROUNDS)
+            rate = RATE * max(0.1, 1 - 0.9 * step / STEPS)
             for name, w in net.items():
                 g = grad[name].reshape(w.shape)
                 mean, square = moments[name]

@@ -183,9 +183,9 @@ def test_every_word_is_in_a_window():
     assert len(toxicity.starts(0)) == 0
 
 
-def test_toxic_texts_are_found(spark, tmp_path):
+def test_toxic_texts_are_found(spark):
     """Texts with the words that mark the label, against those without, among rows that the fit never saw."""
-    place = "/root/testdata/sf0.01"
+    place = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in queries.QUERIES["op12_toxicity"](spark, place).collect()}
     docs = spark.read.parquet(place + "/documents.parquet").collect()
     assert len(rows) == len(docs)
