@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed
 from palisade.functions import columns as C
-from palisade.operators import iforest, metrics, models, prep, sequences
+from palisade.operators import boosting, iforest, metrics, models, prep, sequences
 from palisade.operators.detect import detect, flow_vectors, with_history
 from palisade.operators.investigate import sequence_features
 from palisade.operators import predict as P
@@ -139,6 +139,44 @@ def intrusion_classifier(spark, sf_dir) -> DataFrame:
     return _checked(metrics.classification_report(models.predictions(model, test), "Label", "predicted"))
 
 
+# Rounds of the registered query: every level of a round is a job of its own, whatever the table's size.
+_ROUNDS = 12
+
+
+def _boosted(spark, sf_dir):
+    """(boosted model of the training part, saved and read back; report of the stratified test part)"""
+    parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
+    parts = materialize(parts, "split")
+    train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
+    path = new_path(spark, "boosted-model")
+    models.fit_boosted_intrusion(train, rounds=_ROUNDS).save(spark, path)
+    model = boosting.Boosted.load(spark, path)
+    test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)
+    return model, metrics.classification_report(model.predict(test), "Label", "predicted")
+
+
+@query(
+    "boosted_classifier",
+    flows(f"""SELECT class, support, scores_hold, {_ROUNDS} AS rounds, true AS loss_falls
+     FROM ({_supports("(SELECT * FROM splits WHERE part='test') t", 'trim("Label")')}) r"""),
+)
+def boosted_classifier(spark, sf_dir) -> DataFrame:
+    """Attack class report of boosted trees; whether every round lowered the training loss."""
+    model, report = _boosted(spark, sf_dir)
+    falls = all(after < before for before, after in zip(model.losses, model.losses[1:]))
+    return _checked(report).select("*", F.lit(len(model.trees)).alias("rounds"), F.lit(falls).alias("loss_falls"))
+
+
+@query("boosted_losses")
+def boosted_losses(spark, sf_dir) -> DataFrame:
+    """Mean training loss before each round and after the last, with the accuracy on the test part."""
+    model, report = _boosted(spark, sf_dir)
+    accuracy = report.filter("class = 'accuracy'").select(F.col("recall").alias("test_accuracy"))
+    rows = [(i, float(loss)) for i, loss in enumerate(model.losses)]  # one per round
+    share = accuracy.first()[0]
+    return spark.createDataFrame(rows, "round int, loss double").withColumn("test_accuracy", F.lit(share))
+
+
 _FLOW_SEVERITY = f"""(SELECT CASE WHEN trim("Label")='BENIGN' THEN 'LOW' WHEN contains("Label",'PortScan') THEN 'MEDIUM'
   WHEN contains("Label",'Web Attack') OR contains("Label",'Infiltration') THEN 'HIGH'
   WHEN contains("Label",'DDoS') OR contains("Label",'Bot') THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity

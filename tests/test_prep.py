@@ -175,8 +175,8 @@ def test_severity_model_learns_and_reloads(spark, tmp_path):
 def test_boosted_intrusion_model(spark):
     rows = [(float(i % 3), float(i % 5), "abc"[i % 3]) for i in range(150)]
     df = spark.createDataFrame(rows, "u double, v double, Label string")
-    model = models.fit_intrusion(df, ["u", "v"], trees=3, depth=3, boosted=True)
-    assert models.predictions(model, df).filter("Label <> predicted").count() == 0
+    model = models.fit_boosted_intrusion(df, ["u", "v"], rounds=3)
+    assert model.predict(df).filter("Label <> predicted").count() == 0
 
 
 def test_test_set_is_prepared_with_training_values(spark):
