@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palisade import fixed
 from palisade.functions import columns as C
-from palisade.operators import boosting, iforest, metrics, models, prep, sequences
+from palisade.operators import boosting, class_model, iforest, metrics, models, pipeline, prep, sequences
 from palisade.operators.detect import detect, flow_vectors, with_history
 from palisade.operators.investigate import sequence_features
 from palisade.operators import predict as P
@@ -223,6 +223,43 @@ def next_class_perceptron(spark, sf_dir) -> DataFrame:
     return per_class.agg(F.sum("n").alias("samples"), fair.alias("scores_hold"))
 
 
+def _class_alerts(spark, sf_dir):
+    """Alerts whose predictions come from the newest saved class model."""
+    path = new_path(spark, "class-model")
+    class_model.save(class_model.fit(network_flows(spark, sf_dir)), spark, path)
+    return pipeline.class_alerts(soc_logs(spark, sf_dir), class_model.load(spark, path))
+
+
+@query(
+    "class_narratives",
+    logs("""SELECT log_id, ev AS event, 'class_model' AS investigation_method, true AS known_class, true AS in_context,
+            concat('based on last ', CAST(n_recent AS VARCHAR), ' events from ', addr, '.)') AS based_on FROM det"""),
+)
+def class_narratives(spark, sf_dir) -> DataFrame:
+    """Narratives of the class model: what they are based on, and whether they tell of the class that was predicted."""
+    alerts = _class_alerts(spark, sf_dir)
+    known = [name for name, _ in fixed.ATTACK_CONTEXT]
+    attack, text = F.col("predicted_next_attack"), F.col("investigation")
+    told = F.concat(C.attack_context(attack), F.lit(" (class model predicted '"), attack, F.lit("' with "))
+    return alerts.select(
+        "log_id",
+        "event",
+        "investigation_method",
+        C.normalize_label(attack).isin([n.lower().replace("\ufffd", "-") for n in known]).alias("known_class"),
+        text.startswith(told).alias("in_context"),
+        F.regexp_extract(text, "based on last .*$", 0).alias("based_on"),
+    )
+
+
+@query("class_predictions")
+def class_predictions(spark, sf_dir) -> DataFrame:
+    """What the class model predicts for every alert, and whether the list of predictions would show it (not BENIGN)."""
+    return _class_alerts(spark, sf_dir).select(
+        "log_id", "predicted_next_attack", "confidence", "investigation", "mitre_attack", "match_kind",
+        (F.col("predicted_next_attack") != "BENIGN").alias("listed"),
+    )
+
+
 @query(
     "iforest_severity_counts",
     flows("""SELECT trim("Label") AS label, count(*) AS n, true AS in_levels FROM flows WHERE "Label" IS NOT NULL GROUP BY 1"""),

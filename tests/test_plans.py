@@ -25,6 +25,14 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+#: What these return depends on a fitted model; test_boosting.py and test_class_model.py check them.
+FITTED = {"boosted_losses", "class_predictions"}
+
+
+def test_every_other_query_has_sql():
+    assert set(ORACLE) <= set(QUERIES) and set(QUERIES) - set(ORACLE) == FITTED
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
