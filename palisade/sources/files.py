@@ -62,11 +62,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 # --- JSON records -----------------------------------------------------------------------------------------------------
 
 
-def decode_logs(records: DataFrame, column: str = "value") -> DataFrame:
+def decode_logs(records: DataFrame, column: str = "value", given: str | None = None) -> DataFrame:
     """Log columns of JSON text, with the text itself in `_corrupt` when it does not parse. Batch or stream.
 
     Missing keys and JSON nulls both become null; `timestamp` is numeric epoch seconds or null. A record without
-    `log_id` gets a negative one made of its place in the source (`record_key`), or of its text where there is none.
+    `log_id` gets a negative one made of its place in the source (`record_key`), or of its text where there is none; a
+    column `given`, when named, says which records came with an id.
     """
     schema = T.StructType([*LOG.fields, T.StructField(CORRUPT, T.StringType())])
     text = F.col(column).cast("string")
@@ -75,6 +76,8 @@ def decode_logs(records: DataFrame, column: str = "value") -> DataFrame:
     place = F.coalesce(F.col(RECORD_KEY), text) if RECORD_KEY in records.columns else text
     rows = records.select(*kept, text.alias("_text"), place.alias("_place"), parsed.alias("_log"))
     rows = rows.select(*kept, "_text", "_place", "_log.*")
+    if given:
+        rows = rows.withColumn(given, F.col("log_id").isNotNull())
     derived = F.lit(-1) - F.xxhash64("_place").bitwiseAND(F.lit(2**63 - 1))
     number = F.col("timestamp").try_cast("double")
     return (
