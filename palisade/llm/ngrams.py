@@ -3,26 +3,35 @@
 A code holds four units of 16 bits, so it is exact, and no vocabulary is chosen: the model has a row for each n-gram of
 the corpus. A text counts its own rare n-grams, which would make gibberish predictable; so the texts of a language are
 halved by their hash, and each half is scored by the model of the other one. Equal texts fall into one half.
+
+Texts are scored in blocks. A block asks for its distinct n-grams, one packed row per range of codes; each range holds
+its part of the model as sorted arrays and answers every block once; the block adds its texts up. So no text becomes a
+row per n-gram, no model is held whole by any task, and a frequent n-gram is one entry per block. There is one path for
+every size.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import as_bytes, chunks
+from palisade.llm.common import as_bytes, chunks, packed, unpacked
 from palisade.session import checked_broadcast, materialize
 
 ORDER, BITS = 4, 16
 #: A task hands over its counts when it holds so many distinct n-grams.
 HELD = 1 << 21
-#: Models of at most so many rows are broadcast as sorted arrays; larger ones are joined.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of texts of one block, and n-grams that a range of codes is asked for, on average.
+BLOCK = 4 << 20
+RANGE = 2_000_000
+#: Units of a passage; a text's perplexity is the median over its passages.
+PASSAGE = 64
 _PAD = "\n" * (ORDER - 1)
 
 
@@ -161,45 +170,144 @@ def fitted(rows: DataFrame) -> DataFrame:
     return probabilities(counts.withColumn("model", other), counts)
 
 
-def sorted_arrays(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Model name to codes in order and their log probabilities."""
-    table = model.toArrow().to_pandas().sort_values(["model", "code"])
-    return {name: (part["code"].to_numpy(), np.log(part["p"].to_numpy())) for name, part in table.groupby("model")}
-
-
-def log_perplexities(arrays: dict, models: pa.Array, texts: list[bytes]) -> np.ndarray:
-    """Of each text, per unit; nan without units."""
-    out = np.full(len(texts), np.nan)
-    for name, at in by_model(models, texts):
-        found, start, stop = codes([texts[i] for i in at])
-        inside = _inside(found, start, stop)
-        if len(inside) == 0:
-            continue
-        code, log = arrays[name]
-        sums = np.concatenate([[0.0], np.cumsum(log[np.searchsorted(code, inside)])])
-        ends = np.cumsum(stop - start)
-        with np.errstate(invalid="ignore"):
-            out[at] = (sums[ends - (stop - start)] - sums[ends]) / (stop - start)
-    return out
+def blocks(rows: DataFrame, block: int) -> DataFrame:
+    """chunk, model, lang, doc_ids, hashes, lengths, texts (joined, compressed), n_codes (distinct n-grams).
+
+    Of rows with doc_id, text_hash, lang, model, text. A block holds texts of one model, and so of one language, and at
+    most `block` bytes, or one longer text.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = defaultdict(list)
+        sizes: dict[str, int] = defaultdict(int)
+        chunk, kind = TaskContext.get().partitionId() << 33, None
+
+        def emit(name: str) -> pa.RecordBatch:
+            nonlocal chunk
+            chunk += 1
+            ids, hashes, langs, texts = zip(*held.pop(name))
+            sizes.pop(name)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            columns = [
+                pa.array([chunk], pa.int64()), pa.array([name], pa.string()), pa.array([langs[0]], pa.string()),
+                pa.array([list(ids)], pa.list_(kind)), pa.array([list(hashes)], pa.list_(pa.int64())),
+                pa.array([packed(lengths)], pa.binary()), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary()),
+                pa.array([len(np.unique(_inside(*codes(list(texts)))))], pa.int64()),
+            ]
+            return pa.record_batch(columns, names=_BLOCK)
 
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            names = batch.column(3).to_pylist()
+            for name, *row in zip(names, *(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(4))):
+                if sizes[name] and sizes[name] + len(row[3]) > block:
+                    yield emit(name)
+                held[name].append(row)
+                sizes[name] += len(row[3])
+                if sum(sizes.values()) > 8 * block:  # many languages at once
+                    yield emit(max(sizes, key=sizes.get))
+        for name in list(held):
+            yield emit(name)
 
-def joined_perplexities(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, text_hash, model, log_perplexity, one row each, by joining each text's distinct n-grams with the model."""
     kind = dict(rows.dtypes)["doc_id"]
+    schema = f"chunk long, model string, lang string, doc_ids array<{kind}>, hashes array<long>, lengths binary, texts binary, n_codes long"
+    return rows.select("doc_id", "text_hash", "lang", "model", "text").mapInArrow(cut, schema)
+
+
+_BLOCK = ["chunk", "model", "lang", "doc_ids", "hashes", "lengths", "texts", "n_codes"]
+
+
+def _texts(row: dict) -> list[bytes]:
+    lengths = unpacked(row["lengths"])
+    joined = pa.decompress(row["texts"], decompressed_size=int(lengths.sum()), codec="zstd", asbytes=True)
+    ends = np.cumsum(lengths)
+    return [joined[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+
+
+def _asked(found: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes ordered by range and code, and their ranges."""
+    own = np.unique(found)
+    part = own % ranges
+    order = np.lexsort((own, part))
+    return own[order], part[order]
+
+
+def passages(log: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of each text the median over its passages of the mean of -log, nan without units. log lists the units of all texts."""
+    sizes = stop - start
+    out = np.full(len(sizes), np.nan)
+    sums = np.concatenate([[0.0], np.cumsum(log)])
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes):
+        n, first = int(sizes[i]), int(ends[i] - sizes[i])
+        cuts = first + np.linspace(0, n, max(1, n // PASSAGE) + 1).astype(np.int64)
+        out[i] = np.median((sums[cuts[:-1]] - sums[cuts[1:]]) / np.diff(cuts))
+    return out
+
+
+def perplexities(
+    rows: DataFrame, model: DataFrame, counts: Callable[[list[bytes]], dict], names: list[str], block: int = BLOCK, wanted: int = RANGE
+) -> DataFrame:
+    """doc_id, text_hash, lang, log_perplexity (null without units) of every row, and what counts() says of its text.
+
+    rows has doc_id, text_hash, lang, model, text; names are those of the long columns that counts() gives.
+    """
+    table = materialize(blocks(rows, block), "ngram-blocks")
+    total = table.agg(F.sum("n_codes")).first()[0] or 0
+    ranges = 2 * (total // wanted) + 1  # an odd number, as the low bits of codes are units of 16 bits
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(3))
-            for begin, end in chunks(texts):
-                found, start, stop = codes(texts[begin:end])
-                own = [np.unique(found[a:b], return_counts=True) for a, b in zip(start, stop)]
-                at = pa.array(np.repeat(np.arange(begin, end), [len(code) for code, _ in own]))
-                columns = {name: batch.column(i).take(at) for i, name in enumerate(["doc_id", "text_hash", "model"])}
-                columns["code"] = pa.array(np.concatenate([code for code, _ in own]).astype(np.int64))
-                columns["n"] = pa.array(np.concatenate([n for _, n in own]).astype(np.int64))
-                yield pa.record_batch(columns)
-
-    schema = f"doc_id {kind}, text_hash long, model string, code long, n long"
-    found = rows.select("doc_id", "text_hash", "model", "text").mapInArrow(grams, schema).join(model, ["model", "code"])
-    sums = found.groupBy("doc_id", "text_hash", "model").agg(F.sum(F.col("n") * F.log("p")).alias("log"), F.sum("n").alias("n"))
-    return sums.select("doc_id", "text_hash", "model", (-F.col("log") / F.col("n")).alias("log_perplexity"))
+            for row in batch.to_pylist():
+                own, part = _asked(_inside(*codes(_texts(row))), ranges)
+                if len(own):
+                    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                    pieces = [packed(x) for x in np.split(own, edges[1:])]
+                    n = len(pieces)
+                    yield pa.record_batch(
+                        {"part": pa.array(part[edges]), "chunk": pa.array([row["chunk"]] * n, pa.int64()),
+                         "model": pa.array([row["model"]] * n, pa.string()), "codes": pa.array(pieces, pa.binary())}
+                    )
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        names = known["model"].combine_chunks().dictionary_encode()
+        which, code, log = names.indices.to_numpy(), known["code"].to_numpy(), np.log(known["p"].to_numpy())
+        order = np.lexsort((code, which))
+        which, code, log = which[order], code[order], log[order].astype("<f4")
+        arrays = {}
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            a, b = np.searchsorted(which, [i, i + 1])
+            arrays[name] = code[a:b], log[a:b]
+        out = []
+        for name, codes_ in zip(asked["model"].to_pylist(), asked["codes"].to_pylist()):
+            own, values = arrays[name]
+            out.append(values[np.searchsorted(own, unpacked(codes_))].tobytes())
+        return pa.table({"chunk": asked["chunk"], "part": asked["part"], "logs": pa.array(out, pa.binary())})
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        texts = _texts(rows[0]) if rows else []
+        all_codes, start, stop = codes(texts)
+        inside = _inside(all_codes, start, stop)
+        own, _ = _asked(inside, ranges)
+        logs = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(x, "<f4") for x in right.sort_by("part")["logs"].to_pylist())])
+        order = np.argsort(own)
+        log = logs[order][np.searchsorted(own[order], inside)].astype(float) if len(own) else np.zeros(0)
+        doc_ids = left["doc_ids"].combine_chunks().flatten()
+        return pa.table(
+            {
+                "doc_id": doc_ids,
+                "text_hash": left["hashes"].combine_chunks().flatten(),
+                "lang": pa.array([rows[0]["lang"] if rows else None] * len(doc_ids), pa.string()),
+                **{name: pa.array(x.astype(np.int64)) for name, x in counts(texts).items()},
+                "log_perplexity": pa.array(passages(log, start, stop), from_pandas=True),
+            }
+        )
+
+    kinds = "part long, chunk long, model string, codes binary"
+    asked = table.select("chunk", "model", "lengths", "texts").mapInArrow(ask, kinds).groupBy("part")
+    parts = model.select(F.pmod("code", F.lit(ranges)).alias("part"), "model", "code", "p").groupBy("part")
+    answers = asked.cogroup(parts).applyInArrow(lambda a, b: answer(a, b), "chunk long, part long, logs binary")
+    joined = table.select("chunk", "lang", "doc_ids", "hashes", "lengths", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, lang string, " + "".join(f"{c} long, " for c in names)
+    return joined.applyInArrow(lambda a, b: score(a, b), schema + "log_perplexity double")

@@ -1,62 +1,23 @@
 """Quality rules: counts of a text's words, symbols and repetitions, and a modified Kneser-Ney model of its spelling.
 
 The model (ngrams.py) has a row for every 4-gram of the corpus. Texts outside their language's band of log perplexity are
-rejected; every value of lang, null too, is a language of its own. The functions on 32 byte classes, language() to
-log_probabilities(), are the former model: no query calls them any more, only test_language_model_sums_to_one.
+rejected; every value of lang, null too, is a language of its own. A text's perplexity is the median over its passages, so
+that a quotation or a number in good prose does not decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import ngrams
-from palisade.llm.common import Rolling, Texts, as_bytes, chunks, mix, text_of
+from palisade.llm.common import Rolling, Texts, chunks, mix, text_of
 from palisade.session import checked_broadcast, materialize
 
-ORDER, CLASSES = 4, 32
-#: Languages of the former model; judged() takes them from the data.
-LANGUAGES = ("de", "en", "es", "fr")
 #: Texts further than so many interquartile ranges from their language's middle half are rejected.
 BAND = 3.5
 SYMBOLS = b"#*$%&|<>"
-_PAD = b"\n" * (ORDER - 1)
-
-
-def _classes() -> np.ndarray:
-    """Letters by case-folded name, digits, blanks, line feeds, sentence marks, other ASCII, bytes beyond ASCII."""
-    kind = np.full(256, 30, np.uint8)
-    for letter in range(26):
-        kind[[65 + letter, 97 + letter]] = letter
-    kind[48:58] = 26
-    kind[[0x20, 0x09, 0x0D]] = 27
-    kind[0x0A] = 28
-    kind[list(b".,;:!?'\"-()")] = 29
-    kind[128:] = 31
-    return kind
-
-
-_KIND = _classes()
-
-
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each byte of the padded texts, and each text's byte bounds."""
-    data = _KIND[np.frombuffer(_PAD + _PAD.join(texts) + _PAD, np.uint8)].astype(np.int32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    start = np.cumsum(lengths + ORDER - 1) - lengths
-    codes = np.zeros(len(data), np.int32)
-    for back in range(ORDER):
-        codes[back:] += data[: len(data) - back] << (5 * back)
-    return codes, start, start + lengths
-
-
-def language(column: Column) -> Column:
-    known = F.coalesce(*[F.when(column == name, F.lit(i)) for i, name in enumerate(LANGUAGES)])
-    return F.coalesce(known, F.lit(len(LANGUAGES)))
 
 
 def _lang_text(docs: DataFrame) -> tuple[Column, Column]:
@@ -64,87 +25,6 @@ def _lang_text(docs: DataFrame) -> tuple[Column, Column]:
     return lang.alias("lang"), text_of().alias("text")
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """lang, code, n of all n-grams of all texts. Each task hands over one row per distinct n-gram."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = CLASSES**ORDER
-        sums = np.zeros((len(LANGUAGES) + 1, size), np.int64)
-        for batch in batches:
-            langs, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
-            for lang in np.unique(langs):
-                own = [t for t, k in zip(texts, langs == lang) if k]
-                for begin, end in chunks(own):
-                    codes, start, stop = _codes(own[begin:end])
-                    inside = np.zeros(len(codes) + 1, np.int8)
-                    np.add.at(inside, start, 1)
-                    np.add.at(inside, stop, -1)
-                    sums[lang] += np.bincount(codes[np.cumsum(inside[:-1]) > 0], minlength=size)
-        for lang, row in enumerate(sums):
-            code = np.flatnonzero(row)
-            yield pa.record_batch(
-                {"lang": pa.array(np.full(len(code), lang, np.int32)), "code": pa.array(code.astype(np.int64)), "n": pa.array(row[code])}
-            )
-
-    lang, text = _lang_text(docs)
-    found = docs.select(language(lang).alias("lang"), text).mapInArrow(count, "lang int, code long, n long")
-    return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """order, lang, code, alpha (own discounted share), gamma (mass its context passes on).
-
-    Below the highest order an n-gram counts its distinct predecessors. Discounts for counts of one, two, and three or
-    more come from the counts of counts; where those are missing the discount is half, one and one and a half.
-    """
-    levels, table = [], counts
-    for order in range(ORDER, 0, -1):
-        of_lang = Window.partitionBy("lang")
-        with_ones = table
-        for k in (1, 2, 3, 4):
-            with_ones = with_ones.withColumn(f"n{k}", F.sum((F.col("n") == k).cast("double")).over(of_lang))
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        for k in (1, 2, 3):
-            cut = F.lit(float(k)) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-            with_ones = with_ones.withColumn(f"d{k}", F.greatest(F.lit(0.1 * k), F.coalesce(cut, F.lit(0.5 * k))))
-        off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        context = Window.partitionBy("lang", F.shiftright("code", 5))
-        levels.append(
-            with_ones.withColumn("off", F.least(off, F.col("n").cast("double"))).select(
-                F.lit(order).alias("order"), "lang", "code",
-                ((F.col("n") - F.col("off")) / F.sum("n").over(context)).alias("alpha"),
-                (F.sum("off").over(context) / F.sum("n").over(context)).alias("gamma"),
-            )
-        )
-        table = table.groupBy("lang", (F.col("code") % CLASSES ** (order - 1)).alias("code")).agg(F.count("*").alias("n"))
-    model = levels[0]
-    for level in levels[1:]:
-        model = model.unionByName(level)
-    return model
-
-
-def sorted_arrays(model: DataFrame) -> dict:
-    """(order, lang) to arrays sorted by code; at most 32**4 entries for each language's highest order."""
-    table = model.toPandas().sort_values(["order", "lang", "code"])
-    return {
-        (int(order), int(lang)): (part["code"].to_numpy(), part["alpha"].to_numpy(np.float32), part["gamma"].to_numpy(np.float32))
-        for (order, lang), part in table.groupby(["order", "lang"])
-    }
-
-
-def log_probabilities(arrays: dict, lang: int) -> np.ndarray:
-    """Of every possible n-gram code: its share plus what its context passes to the next lower order."""
-    p = np.full(1, 1.0 / CLASSES)
-    for order in range(1, ORDER + 1):
-        alpha, gamma = np.zeros(CLASSES**order), np.ones(CLASSES ** (order - 1))
-        if (order, lang) in arrays:
-            code, a, g = arrays[order, lang]
-            alpha[code], gamma[code >> 5] = a, g
-        lower = np.tile(p, CLASSES) if order > 1 else np.full(CLASSES, p[0])
-        p = alpha + np.repeat(gamma, CLASSES) * lower
-    return np.log(p).astype(np.float32)
-
-
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     t = Texts(texts)
@@ -192,37 +72,17 @@ def _repeated_words(words, n: int, size: int = 3) -> np.ndarray:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, block: int = ngrams.BLOCK, wanted: int = ngrams.RANGE) -> DataFrame:
     """doc_id, text_hash, lang, the base counts and log_perplexity (null without characters) of every row."""
     lang, text = _lang_text(docs)
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), lang, text)
     rows = rows.withColumn("model", ngrams.model_name(F.col("lang"), ngrams.half(F.col("text_hash"))))
-    kinds, names = dict(rows.dtypes), ["doc_id", "text_hash", "lang", "model"]
-    model = ngrams.fitted(rows)
-    small = model.count() <= ngrams.BROADCAST_ROWS
-    arrays = docs.sparkSession.sparkContext.broadcast(ngrams.sorted_arrays(model)) if small else None
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column(4))
-            found: dict[str, list] = {c: [] for c in COUNTS}
-            for begin, end in chunks(texts):
-                for name, values in base_counts(texts[begin:end]).items():
-                    found[name].append(values)
-            columns = {name: batch.column(i) for i, name in enumerate(names)}
-            for name in COUNTS:
-                columns[name] = pa.array(np.concatenate([np.zeros(0, np.int64), *found[name]]).astype(np.int64))
-            if arrays is not None:
-                columns["log_perplexity"] = pa.array(ngrams.log_perplexities(arrays.value, batch.column(3), texts), from_pandas=True)
-            yield pa.record_batch(columns)
-
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in names], *[f"{c} long" for c in COUNTS], *["log_perplexity double"] * small])
-    scored = rows.select(*names, "text").mapInArrow(score, schema)
-    if not small:
-        found = ngrams.joined_perplexities(rows, model)
-        keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_hash", "model")]
-        scored = scored.alias("a").join(found.alias("b"), keys, "left").select("a.*", "b.log_perplexity")
-    return scored.drop("model")
+
+    def counts(texts: list[bytes]) -> dict[str, np.ndarray]:
+        parts = [base_counts(texts[begin:end]) for begin, end in chunks(texts)]
+        return {name: np.concatenate([np.zeros(0, np.int64), *(p[name] for p in parts)]) for name in COUNTS}
+
+    return ngrams.perplexities(rows, ngrams.fitted(rows), counts, COUNTS, block, wanted)
 
 
 def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
