@@ -1,6 +1,8 @@
-"""Queries that fit models. They return what SQL can know beside a fit: supports, sizes, and bounds on the scores as flags.
+"""Queries that fit models.
 
-The operators return the scores themselves; tests check the forest against a plain walk of its trees.
+Each comes twice: with what SQL can know beside a fit (supports, sizes, bounds on the scores as flags), and as *_scores
+with the scores themselves, which tests check against plain computations. Both read the same fit, which an application
+makes once per set of tables.
 """
 
 from pyspark.sql import DataFrame
@@ -14,7 +16,7 @@ from palisade.operators.investigate import sequence_features
 from palisade.operators import predict as P
 from palisade.plans.registry import query
 from palisade.plans.sql import KEY, flows, logs
-from palisade.session import materialize, new_path
+from palisade.session import made_once, materialize
 from palisade.sources.adapters import FLOW_KEY, network_flows, soc_logs
 
 FEATURES = fixed.FLOW_FEATURES
@@ -26,6 +28,11 @@ _TEST_ROW = _TEST.format("row_hash")
 _SLACK = 0.05
 
 
+def _report(spark, sf_dir: str, name: str, make) -> DataFrame:
+    """The report that make() gives, stored once per application and set of tables."""
+    return spark.read.parquet(made_once(spark, (sf_dir, name), lambda path: make().write.parquet(path)))
+
+
 def _checked(report: DataFrame) -> DataFrame:
     """Support per class and average of a report; whether its scores are shares, and the accuracy is no worse than that
     of the most frequent class alone."""
@@ -56,10 +63,11 @@ def _benign(rows: DataFrame) -> DataFrame:
 def _forest(spark, sf_dir):
     """A forest fitted on the benign training flows, saved and read back."""
     parts = prep.hash_split(network_flows(spark, sf_dir), FLOW_KEY)
-    forest = iforest.fit(_benign(parts.filter("part = 'train'")), FLOW_KEY, FEATURES)
-    path = new_path(spark, "anomaly-model")
-    forest.save(path)
-    return parts, iforest.Forest.load(spark, path)
+
+    def fit(path: str) -> None:
+        iforest.fit(_benign(parts.filter("part = 'train'")), FLOW_KEY, FEATURES).save(path)
+
+    return parts, iforest.Forest.load(spark, made_once(spark, (sf_dir, "anomaly-model"), fit))
 
 
 @query(
@@ -80,6 +88,22 @@ def iforest_fit(spark, sf_dir) -> DataFrame:
     )
 
 
+def _forest_metrics(spark, sf_dir) -> DataFrame:
+    parts, forest = _forest(spark, sf_dir)
+    test = parts.filter((F.col("part") == "test") & F.col("Label").isNotNull())
+    scored = forest.score(test).select(
+        (F.trim("Label") != "BENIGN").cast("int").alias("actual"),
+        (F.col("anomaly_prediction") == -1).cast("int").alias("predicted"),
+    )
+    return metrics.binary_metrics(scored, "actual", "predicted")
+
+
+@query("iforest_eval_scores")
+def iforest_eval_scores(spark, sf_dir) -> DataFrame:
+    """Counts of right and wrong flags on the test part, with precision, recall and the rest."""
+    return _forest_metrics(spark, sf_dir)
+
+
 @query(
     "iforest_eval",
     flows(f"""SELECT count(*) FILTER (WHERE trim("Label")<>'BENIGN') AS attacks,
@@ -88,13 +112,7 @@ def iforest_fit(spark, sf_dir) -> DataFrame:
 )
 def iforest_eval(spark, sf_dir) -> DataFrame:
     """Test rows by kind, and whether about as many benign ones are flagged as the contamination says (2 %, 4 at most)."""
-    parts, forest = _forest(spark, sf_dir)
-    test = parts.filter((F.col("part") == "test") & F.col("Label").isNotNull())
-    scored = forest.score(test).select(
-        (F.trim("Label") != "BENIGN").cast("int").alias("actual"),
-        (F.col("anomaly_prediction") == -1).cast("int").alias("predicted"),
-    )
-    found = metrics.binary_metrics(scored, "actual", "predicted")
+    found = _forest_metrics(spark, sf_dir)
     return found.select(
         (F.col("tp") + F.col("fn")).alias("attacks"),
         (F.col("fp") + F.col("tn")).alias("benign"),
@@ -125,18 +143,31 @@ def anomaly_severity(spark, sf_dir) -> DataFrame:
     )
 
 
+def _intrusion_classifier_report(spark, sf_dir) -> DataFrame:
+    def made() -> DataFrame:
+        parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
+        parts = materialize(parts, "split")
+        train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
+        model = models.fit_intrusion(train)
+        test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)
+        return metrics.classification_report(models.predictions(model, test), "Label", "predicted")
+
+    return _report(spark, sf_dir, "intrusion_classifier", made)
+
+
 @query(
     "intrusion_classifier",
     flows(_supports("(SELECT * FROM splits WHERE part='test') t", 'trim("Label")')),
 )
 def intrusion_classifier(spark, sf_dir) -> DataFrame:
     """Attack class report of a forest on the stratified test part."""
-    parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
-    parts = materialize(parts, "split")
-    train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
-    model = models.fit_intrusion(train)
-    test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)
-    return _checked(metrics.classification_report(models.predictions(model, test), "Label", "predicted"))
+    return _checked(_intrusion_classifier_report(spark, sf_dir))
+
+
+@query("intrusion_classifier_scores")
+def intrusion_classifier_scores(spark, sf_dir) -> DataFrame:
+    """The same report with precision, recall and F1."""
+    return _intrusion_classifier_report(spark, sf_dir)
 
 
 # Rounds of the registered query: every level of a round is a job of its own, whatever the table's size.
@@ -146,12 +177,14 @@ _ROUNDS = 12
 def _boosted(spark, sf_dir):
     """(boosted model of the training part, saved and read back; report of the stratified test part)"""
     parts = prep.stratified_split(network_flows(spark, sf_dir), FLOW_KEY).withColumn("Label", F.trim("Label"))
-    parts = materialize(parts, "split")
-    train, fitted = models.prepared_flows(parts.filter("part = 'train'"))
-    path = new_path(spark, "boosted-model")
-    models.fit_boosted_intrusion(train, rounds=_ROUNDS).save(spark, path)
-    model = boosting.Boosted.load(spark, path)
-    test, _ = models.prepared_flows(parts.filter("part = 'test'"), fitted)
+    split = spark.read.parquet(made_once(spark, (sf_dir, "split"), lambda path: parts.write.parquet(path)))
+    train, fitted = models.prepared_flows(split.filter("part = 'train'"))
+
+    def fit(path: str) -> None:
+        models.fit_boosted_intrusion(train, rounds=_ROUNDS).save(spark, path)
+
+    model = boosting.Boosted.load(spark, made_once(spark, (sf_dir, "boosted-model"), fit))
+    test, _ = models.prepared_flows(split.filter("part = 'test'"), fitted)
     return model, metrics.classification_report(model.predict(test), "Label", "predicted")
 
 
@@ -183,12 +216,37 @@ _FLOW_SEVERITY = f"""(SELECT CASE WHEN trim("Label")='BENIGN' THEN 'LOW' WHEN co
  FROM zeroed WHERE "Flow Bytes/s" IS NOT NULL AND {_TEST_ROW}) t"""
 
 
+def _severity_classifier_report(spark, sf_dir) -> DataFrame:
+    def made() -> DataFrame:
+        rows = prep.hash_split(prep.severity_dataset(network_flows(spark, sf_dir)), FLOW_KEY)
+        model = models.fit_severity(rows.filter("part = 'train'"))
+        return metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted")
+
+    return _report(spark, sf_dir, "severity_classifier", made)
+
+
 @query("severity_classifier", flows(_supports(_FLOW_SEVERITY, "severity")))
 def severity_classifier(spark, sf_dir) -> DataFrame:
     """Severity report of a forest on the flow severity set."""
-    rows = prep.hash_split(prep.severity_dataset(network_flows(spark, sf_dir)), FLOW_KEY)
-    model = models.fit_severity(rows.filter("part = 'train'"))
-    return _checked(metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted"))
+    return _checked(_severity_classifier_report(spark, sf_dir))
+
+
+@query("severity_classifier_scores")
+def severity_classifier_scores(spark, sf_dir) -> DataFrame:
+    """The same report with precision, recall and F1."""
+    return _severity_classifier_report(spark, sf_dir)
+
+
+def _alert_severity_classifier_report(spark, sf_dir) -> DataFrame:
+    def made() -> DataFrame:
+        logs = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
+        alerts = detect(with_history(logs, frequency=True, recent=5)).drop("anomaly_score")
+        rows = models.alert_features(sequence_features(P.predict(alerts, P.fit(alerts))))
+        rows = prep.hash_split(rows, ["log_id"])
+        model = models.fit_severity(rows.filter("part = 'train'"), models.ALERT_FEATURES)
+        return metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted")
+
+    return _report(spark, sf_dir, "alert_severity_classifier", made)
 
 
 @query(
@@ -197,12 +255,13 @@ def severity_classifier(spark, sf_dir) -> DataFrame:
 )
 def alert_severity_classifier(spark, sf_dir) -> DataFrame:
     """Severity report of a forest on alert features."""
-    logs = soc_logs(spark, sf_dir).select("log_id", "timestamp", "event", "ip")
-    alerts = detect(with_history(logs, frequency=True, recent=5)).drop("anomaly_score")
-    rows = models.alert_features(sequence_features(P.predict(alerts, P.fit(alerts))))
-    rows = prep.hash_split(rows, ["log_id"])
-    model = models.fit_severity(rows.filter("part = 'train'"), models.ALERT_FEATURES)
-    return _checked(metrics.classification_report(models.predictions(model, rows.filter("part = 'test'")), "severity", "predicted"))
+    return _checked(_alert_severity_classifier_report(spark, sf_dir))
+
+
+@query("alert_severity_classifier_scores")
+def alert_severity_classifier_scores(spark, sf_dir) -> DataFrame:
+    """The same report with precision, recall and F1."""
+    return _alert_severity_classifier_report(spark, sf_dir)
 
 
 @query(
@@ -225,8 +284,10 @@ def next_class_perceptron(spark, sf_dir) -> DataFrame:
 
 def _class_alerts(spark, sf_dir):
     """Alerts whose predictions come from the newest saved class model."""
-    path = new_path(spark, "class-model")
-    class_model.save(class_model.fit(network_flows(spark, sf_dir)), spark, path)
+    def fit(path: str) -> None:
+        class_model.save(class_model.fit(network_flows(spark, sf_dir)), spark, path)
+
+    path = made_once(spark, (sf_dir, "class-model"), fit)
     return pipeline.class_alerts(soc_logs(spark, sf_dir), class_model.load(spark, path))
 
 

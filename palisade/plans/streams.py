@@ -7,7 +7,7 @@ from palisade.plans.logs import _MICROS, _SEQUENCES, _SUMMARY
 from palisade.plans.registry import query
 from palisade.plans.stores import TWO_STAGES
 from palisade.plans.sql import logs
-from palisade.session import new_path
+from palisade.session import made_once, new_path
 from palisade.sources import files
 from palisade.sources.adapters import soc_logs
 from palisade.sources.streams import folder_sink, folder_source
@@ -136,7 +136,6 @@ def stream_sessions(spark, sf_dir) -> DataFrame:
 # --- through the ledger
 
 _PART = f"least(greatest(floor((\"timestamp\"-{_FIRST_DAY})/{30 * _DAY / _PARTS}),0),{_PARTS - 1})"
-_replayed: dict[tuple, str] = {}
 
 
 def ledger_of(spark, sf_dir: str, kind: str) -> str:
@@ -145,13 +144,14 @@ def ledger_of(spark, sf_dir: str, kind: str) -> str:
     Every part is one run of the stream. `repeats` sends a tenth of each part again with the next one; `late` keeps a
     fiftieth back until the next part; `unnamed` sends records without id, their times cut to the hour, some cut off.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key in _replayed:
-        return _replayed[key]
+    return made_once(spark, (sf_dir, f"ledger-{kind}"), lambda root: _replay_into(spark, sf_dir, kind, root))
+
+
+def _replay_into(spark, sf_dir: str, kind: str, root: str) -> None:
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    folder, root, state = (new_path(spark, name) for name in ("records", "ledger", "state"))
+    folder, state = new_path(spark, "records"), new_path(spark, "state")
     logs_ = soc_logs(spark, sf_dir)
     part = F.floor((F.col("timestamp") - _FIRST_DAY) / (30 * _DAY / _PARTS))
     logs_ = logs_.withColumn("_part", F.least(F.greatest(part, F.lit(0)), F.lit(_PARTS - 1)))
@@ -170,8 +170,6 @@ def ledger_of(spark, sf_dir: str, kind: str) -> str:
             records = files.encode_json(own.drop("k", "_part"))
         records.write.mode("append").text(folder)
         batches.run(folder_source(session, folder), root, state, availableNow=True).awaitTermination()
-    _replayed[key] = root
-    return root
 
 
 @query("ledger_alerts", logs(TWO_STAGES))

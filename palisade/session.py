@@ -3,6 +3,7 @@
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: dict[tuple, str] = {}
+
+
+def made_once(spark: SparkSession, key: tuple, write: Callable[[str], object]) -> str:
+    """The path that write(path) filled, once per application and key; again where it has been cleared away since."""
+    key = (spark.sparkContext.applicationId, *key)
+    path = _made.get(key)
+    if path is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return path
+    path = new_path(spark, str(key[-1]))
+    write(path)
+    _made[key] = path
+    return path
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Write a lookup table once and count it; broadcast it only when the count is small, else leave the join to Spark."""
     stored = materialize(df, "lookup")

@@ -25,14 +25,38 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
-#: What these return depends on a fitted model; test_boosting.py and test_class_model.py check them.
-FITTED = {"boosted_losses", "class_predictions"}
+#: What these return depends on a fitted model; other tests check how it is fitted, test_scores_of_models what it says.
+FITTED = {
+    "boosted_losses", "class_predictions", "iforest_eval_scores", "intrusion_classifier_scores", "severity_classifier_scores",
+    "alert_severity_classifier_scores",
+}
 
 
 def test_every_other_query_has_sql():
     assert set(ORACLE) <= set(QUERIES) and set(QUERIES) - set(ORACLE) == FITTED
 
 
+@pytest.mark.parametrize("name", ["severity_classifier", "alert_severity_classifier"])
+def test_scores_of_models(spark, sf, name):
+    """A report's averages follow from its classes; severities of alerts can be told from their features."""
+    rows = {r["class"]: r for r in QUERIES[f"{name}_scores"](spark, sf).collect()}
+    own = [r for c, r in rows.items() if c not in ("accuracy", "macro avg", "weighted avg")]
+    total = sum(r["support"] for r in own)
+    for c in ("precision", "recall", "f1"):
+        assert abs(rows["macro avg"][c] - sum(r[c] for r in own) / len(own)) < 1e-9
+        assert abs(rows["weighted avg"][c] - sum(r[c] * r["support"] for r in own) / total) < 1e-9
+    accuracy, base = rows["accuracy"]["recall"], max(r["support"] for r in own) / total
+    assert abs(accuracy - rows["weighted avg"]["recall"]) < 1e-9
+    if name == "alert_severity_classifier":
+        assert accuracy > base + 0.05
+
+
+def test_metrics_of_the_forest(spark, sf):
+    r = QUERIES["iforest_eval_scores"](spark, sf).first()
+    assert abs(r["precision"] - (r["tp"] / (r["tp"] + r["fp"]) if r["tp"] + r["fp"] else 0)) < 1e-9
+    assert abs(r["recall"] - r["tp"] / (r["tp"] + r["fn"])) < 1e-9
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 
