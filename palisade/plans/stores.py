@@ -43,6 +43,29 @@ def csv_scan(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    "csv_glob",
+    flows("""SELECT "Label" AS label, count(*) AS n, count("Flow Bytes/s") AS with_bytes,
+             count(*) FILTER (WHERE isinf("Flow Packets/s")) AS infinite, round(sum("Flow Duration"),2) AS duration,
+             round(sum("Total Fwd Packets"),2) AS packets FROM flows GROUP BY "Label" """),
+)
+def csv_glob(spark, sf_dir) -> DataFrame:
+    """The flows as CSV files of two column orders, read by one glob, each by its own header."""
+    path = new_path(spark, "flow-globs")
+    rows = network_flows(spark, sf_dir).select(*FEATURES, "Label", "file_id")
+    for order, half in ((FEATURES + ["Label"], 0), (["Label"] + FEATURES[::-1], 1)):
+        writer = rows.where(F.col("file_id") % 2 == half).select(*order).write.option("header", True)
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/order={half}")
+    read = files.read_flow_csv(spark, f"{path}/*/*.csv")
+    return read.groupBy(F.col("Label").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("`Flow Bytes/s`").alias("with_bytes"),
+        F.count_if(F.abs("Flow Packets/s") == float("inf")).alias("infinite"),
+        F.round(F.sum("Flow Duration"), 2).alias("duration"),
+        F.round(F.sum("Total Fwd Packets"), 2).alias("packets"),
+    )
+
+
 @query("parquet_round_trip", flows(f"""SELECT {SHOWN_KEY}, part, "Flow Bytes/s" AS bytes, "Label" AS label FROM splits"""))
 def parquet_round_trip(spark, sf_dir) -> DataFrame:
     """The two split parts written as tables and read back as one."""

@@ -1,5 +1,14 @@
 """Batch sources and sinks: flow CSVs, JSON records, alert table, logs, reports, mappings, schema evolution."""
 
+from __future__ import annotations
+
+import csv
+import re
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,20 +44,57 @@ def _typed_flows(raw: DataFrame) -> DataFrame:
     return named.select(*columns)
 
 
+def csv_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, names: the header of every CSV file, read by the executors in one job however many files there are.
+
+    A part of a file that does not begin it, or that is one of several, is left after its first batch of lines.
+    """
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_block_length", "file_size")]
+    lines = spark.read.text(paths).select("value", *meta)
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            found = []
+            path = batch.column(1).dictionary_encode()
+            at = {code: i for i, code in reversed(list(enumerate(path.indices.to_pylist())))}
+            for code, i in at.items():
+                name = path.dictionary[code].as_py()
+                if name not in seen and batch.column(2)[i].as_py() == 0:
+                    found.append((name, column_names(batch.column(0)[i].as_py())))
+                seen.add(name)
+            names, headers = zip(*found) if found else ((), ())
+            yield pa.record_batch({"path": pa.array(names, pa.string()), "names": pa.array(headers, pa.list_(pa.string()))})
+            start, length, size = (batch.column(c)[0].as_py() for c in (2, 3, 4)) if batch.num_rows else (0, 1, 1)
+            if length < size and start % length == 0:
+                return  # a whole part of a larger file fills a task alone
+
+    return lines.mapInArrow(first_lines, "path string, names array<string>")
+
+
+def column_names(line: str) -> list[str]:
+    """Column names of a header line; empty ones and repeated ones get their position, as the reader would give them."""
+    names = next(csv.reader([line.lstrip("\ufeff")]), [])
+    often = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if often[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
 def read_flow_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Flow CSVs with a header each, one glob or a list of paths, stacked by column name.
 
-    The files of a glob are listed and read by their own headers, those with one header together. A glob without a match
-    raises when the path is resolved. No schema inference pass is made.
+    Files are read by their own headers, those with one header together. A glob without a match raises when the path is
+    resolved. No schema inference pass is made.
     """
-    read = spark.read.option("header", True)
-    if not isinstance(paths, str):
-        return prep.union_files([_typed_flows(read.csv(path)) for path in paths])
-    alike: dict[tuple, list[str]] = {}
-    listed = spark.read.format("binaryFile").load(paths).select("path").orderBy("path")
-    for row in listed.collect():  # names of files only
-        alike.setdefault(tuple(read.csv(row["path"]).columns), []).append(row["path"])
-    return prep.union_files([_typed_flows(read.csv(files)) for files in alike.values()])
+    alike = csv_headers(spark, paths).groupBy("names").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    read = []
+    for row in alike.orderBy("names").collect():  # names of files only
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in row["names"]])
+        # what stands for itself in a file's name must not be read as a pattern
+        files = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path)) for path in row["paths"]]
+        read.append(_typed_flows(spark.read.schema(schema).option("header", True).csv(files)))
+    if not read:
+        raise ValueError(f"no file with a header in {paths}")
+    return prep.union_files(read)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
