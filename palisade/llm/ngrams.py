@@ -33,6 +33,8 @@ RANGE = 2_000_000
 #: Units of a passage; a text's perplexity is the median over its passages.
 PASSAGE = 64
 _PAD = "\n" * (ORDER - 1)
+#: Compression of blocks, which are written and shuffled once each.
+LEVEL = 9
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +193,7 @@ def blocks(rows: DataFrame, block: int) -> DataFrame:
             columns = [
                 pa.array([chunk], pa.int64()), pa.array([name], pa.string()), pa.array([langs[0]], pa.string()),
                 pa.array([list(ids)], pa.list_(kind)), pa.array([list(hashes)], pa.list_(pa.int64())),
-                pa.array([packed(lengths)], pa.binary()), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)], pa.binary()),
+                pa.array([packed(lengths)], pa.binary()), pa.array([_compressed(texts)], pa.binary()),
                 pa.array([len(np.unique(_inside(*codes(list(texts)))))], pa.int64()),
             ]
             return pa.record_batch(columns, names=_BLOCK)
@@ -217,6 +219,10 @@ def blocks(rows: DataFrame, block: int) -> DataFrame:
 _BLOCK = ["chunk", "model", "lang", "doc_ids", "hashes", "lengths", "texts", "n_codes"]
 
 
+def _compressed(texts: list[bytes]) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(texts), asbytes=True)
+
+
 def _texts(row: dict) -> list[bytes]:
     lengths = unpacked(row["lengths"])
     joined = pa.decompress(row["texts"], decompressed_size=int(lengths.sum()), codec="zstd", asbytes=True)
