@@ -22,7 +22,7 @@ from palisade.operators.investigate import (
 from palisade.operators.respond import action_log, exploded_actions, reports
 from palisade.plans.registry import query
 from palisade.plans.sql import RULE_TEXT, context_of, logs, pct
-from palisade.session import new_path
+from palisade.session import made_once
 from palisade.sources import files
 from palisade.sources.adapters import soc_logs
 
@@ -433,11 +433,10 @@ def persist_projection(spark, sf_dir) -> DataFrame:
 # --- dashboard --------------------------------------------------------------------------------------------------------
 
 
-def _stored(alerts: DataFrame) -> DataFrame:
-    """The remediated alerts of an alert table; what the dashboard asks is asked of the table."""
-    path = new_path(alerts.sparkSession, "alerts")
-    files.append_alerts(alerts, path, "remediated")
-    return files.read_alerts(alerts.sparkSession, path).filter("stage = 'remediated'")
+def _stored(spark, sf_dir, made) -> DataFrame:
+    """The remediated alerts of an alert table, stored once per application: what the dashboard asks is asked of the table."""
+    path = made_once(spark, (sf_dir, made.__name__), lambda path: files.append_alerts(made(spark, sf_dir), path, "remediated"))
+    return files.read_alerts(spark, path).filter("stage = 'remediated'")
 
 
 @query(
@@ -446,7 +445,7 @@ def _stored(alerts: DataFrame) -> DataFrame:
             count(*) FILTER (WHERE ev ILIKE '%malware%') AS malware_count FROM det"""),
 )
 def alert_stats(spark, sf_dir) -> DataFrame:
-    return analytics.alert_stats(_stored(_rule_alerts(spark, sf_dir)))
+    return analytics.alert_stats(_stored(spark, sf_dir, _rule_alerts))
 
 
 @query(
@@ -456,7 +455,7 @@ def alert_stats(spark, sf_dir) -> DataFrame:
             LEFT JOIN (SELECT severity, count(*) AS n FROM det GROUP BY severity) c ON c.severity=l.severity"""),
 )
 def severity_chart(spark, sf_dir) -> DataFrame:
-    return analytics.severity_chart(_stored(_rule_alerts(spark, sf_dir)))
+    return analytics.severity_chart(_stored(spark, sf_dir, _rule_alerts))
 
 
 @query(
@@ -465,7 +464,7 @@ def severity_chart(spark, sf_dir) -> DataFrame:
             LEFT JOIN (SELECT severity, count(*) AS n FROM det GROUP BY severity) c ON c.severity=l.severity"""),
 )
 def severity_counts(spark, sf_dir) -> DataFrame:
-    counts = analytics.severity_counts(_stored(_rule_alerts(spark, sf_dir)))
+    counts = analytics.severity_counts(_stored(spark, sf_dir, _rule_alerts))
     return counts.select(F.explode("severity_counts").alias("severity", "n"))
 
 
@@ -495,7 +494,7 @@ _ISO = """concat(strftime(make_timestamp(CAST(floor("timestamp"*1e6+0.5) AS BIGI
             CASE WHEN confidence<>0 THEN CAST(confidence AS VARCHAR) END AS confidence, {_ISO} AS "timestamp" FROM enr ORDER BY log_id DESC LIMIT 100 OFFSET 50"""),
 )
 def alerts_page(spark, sf_dir) -> DataFrame:
-    return analytics.page(_stored(_predicted_alerts(spark, sf_dir)), limit=100, skip=50)
+    return analytics.page(_stored(spark, sf_dir, _predicted_alerts), limit=100, skip=50)
 
 
 @query(
@@ -504,7 +503,7 @@ def alerts_page(spark, sf_dir) -> DataFrame:
             CASE WHEN confidence<>0 THEN CAST(confidence AS VARCHAR) END AS confidence, {_ISO} AS "timestamp" FROM enr WHERE log_id < 900 ORDER BY log_id DESC LIMIT 500"""),
 )
 def alerts_page_keyset(spark, sf_dir) -> DataFrame:
-    return analytics.page(_stored(_predicted_alerts(spark, sf_dir)), limit=5000, before=900)
+    return analytics.page(_stored(spark, sf_dir, _predicted_alerts), limit=5000, before=900)
 
 
 @query(
@@ -515,7 +514,7 @@ def alerts_page_keyset(spark, sf_dir) -> DataFrame:
             FROM enr ORDER BY "timestamp" DESC, log_id DESC LIMIT 20"""),
 )
 def live_feed(spark, sf_dir) -> DataFrame:
-    return analytics.live_feed(_stored(_predicted_alerts(spark, sf_dir)))
+    return analytics.live_feed(_stored(spark, sf_dir, _predicted_alerts))
 
 
 @query(
@@ -526,7 +525,7 @@ def live_feed(spark, sf_dir) -> DataFrame:
             WHERE predicted_next_attack<>'' AND predicted_next_attack<>'BENIGN' ORDER BY log_id DESC LIMIT 5"""),
 )
 def recent_predictions(spark, sf_dir) -> DataFrame:
-    return analytics.recent_predictions(_stored(_predicted_alerts(spark, sf_dir)))
+    return analytics.recent_predictions(_stored(spark, sf_dir, _predicted_alerts))
 
 
 def _rates(spark, sf_dir, every, slide=None) -> DataFrame:
