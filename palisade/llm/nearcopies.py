@@ -143,10 +143,22 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
     return joined.mapInArrow(verify, "a long, b long").distinct()
 
 
+def _to_the_end(moves: DataFrame) -> DataFrame:
+    """Moves (old, to) followed to their ends by doubling: a way of n steps takes log2(n) written tables."""
+    while True:
+        onward = moves.select(F.col("old").alias("via"), F.col("to").alias("end"))
+        further = moves.join(onward, moves["to"] == onward["via"])
+        further = further.select("old", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("more"))
+        moves = materialize(further, "moves")
+        if moves.where("more").isEmpty():
+            return moves.select("old", "to")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) of every node with a link. links: a, b.
 
-    Every node moves to its smallest neighbour and the links follow, until none is left; written after every step.
+    Every node points to its smallest neighbour, the way of these pointers is followed to its end at once, and the links
+    move along; again until none is left. A long chain costs the logarithm of its length in written tables.
     """
     edges = materialize(links.where("a <> b").select("a", "b").distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
@@ -154,7 +166,7 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         moved = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
-        moved = materialize(moved.select(F.col("a").alias("old"), "to"), "moves")
+        moved = _to_the_end(materialize(moved.select(F.col("a").alias("old"), "to"), "moves"))
         roots = roots.join(moved, roots["root"] == moved["old"], "left")
         roots = materialize(roots.select("node", F.coalesce("to", "root").alias("root")), "roots")
         for end in ("a", "b"):
