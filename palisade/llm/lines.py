@@ -1,19 +1,23 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run holds (h1, h2, n_docs, last_doc) sorted by hash. Every batch of documents adds a run to level 0; when a level has
-FANOUT runs they are merged into one run of the next level, so a hash is rewritten once per level. A batch is matched by
-a merge join with the runs.
+A run holds (h1, h2, n_docs, last_doc) of line hashes that no earlier run holds, bucketed and sorted by hash. Every batch
+of documents is anti-joined with the runs by merging, bucket by bucket; what is left is new and becomes a run of level 0,
+what is found again leaves only its counts. When a level has FANOUT runs they are merged into one run of the next level,
+so a hash is rewritten once per level. Batches come by falling doc_id, so a hash's first batch holds its largest document.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import text_of
-from palisade.session import materialize
+from palisade.session import materialize, new_path
 
-FANOUT = 4
+FANOUT = 3
+BATCHES = 8
 #: The white space that keys lose at both ends, and the letters that they lower.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,62 +67,120 @@ def merged(runs: list[DataFrame]) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of all batches so far, by level. Runs are written to the shared folder; a lost executor costs nothing."""
+    """The runs of all batches so far, by level, and the counts of hashes that came again.
+
+    All are external tables in the shared folder, one bucket per shuffle partition, so joins with them move no row and a
+    lost executor costs nothing. `forget` takes their names out of the catalog.
+    """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._again: list[DataFrame] = []
+        self._names: list[str] = []
 
     def _write(self, run: DataFrame) -> DataFrame:
-        return materialize(run.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2"), "line-run")
-
-    def add(self, marked: DataFrame) -> None:
-        """Add a batch's run, then compact every level that is full."""
-        self.levels[0].append(self._write(as_run(marked)))
+        name = f"line_run_{uuid.uuid4().hex}"
+        sorted_run = run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        sorted_run.option("path", new_path(self.spark, "line-run")).saveAsTable(name)
+        self._names.append(name)
+        return self.spark.table(name)
+
+    def unseen(self, own: DataFrame) -> DataFrame:
+        """The rows of a batch's run whose hash no earlier batch holds; call it before add."""
+        for run in self.runs():
+            own = own.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return own
+
+    def add(self, marked: DataFrame) -> DataFrame:
+        """Add a batch: its unseen hashes as a run, which is returned, then compact every level that is full."""
+        own = self._write(as_run(marked))
+        fresh = own
+        if self.runs():
+            fresh = self._write(self.unseen(own))
+            self._again.append(own.join(fresh.select("h1", "h2"), ["h1", "h2"], "left_anti"))
+        self.levels[0].append(fresh)
         for level, runs in enumerate(self.levels):
             if len(runs) < self.fanout:
                 break
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(merged(runs)))
+            self.levels[level + 1].append(self._write(self._compacted(runs)))
             self.levels[level] = []
+        return fresh
+
+    def _compacted(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs share no hash, so merging them only brings each bucket together."""
+        rows = runs[0]
+        for run in runs[1:]:
+            rows = rows.unionByName(run)
+        return rows.repartition(self.buckets, "h1", "h2")
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
     def counted(self) -> DataFrame | None:
-        runs = self.runs()
-        return None if not runs else runs[0] if len(runs) == 1 else merged(runs)
+        """Every hash with its documents over all batches and the largest document of its first batch."""
+        again = [x.withColumn("last_doc", F.lit(None).cast("long")) for x in self._again]
+        return merged(self.runs() + again) if self.runs() else None
 
-    def unseen(self, marked: DataFrame) -> DataFrame:
-        """(doc, text_hash, pos, h1, h2) of a batch's lines that no earlier batch holds; call it before add."""
-        lines = marked.select("doc", "text_hash", F.explode("marks").alias("x")).select("doc", "text_hash", "x.*")
-        known = self.counted()
-        return lines if known is None else lines.join(known, ["h1", "h2"], "left_anti")
+    def forget(self) -> None:
+        for name in self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._names = []
 
 
-def without_repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 4) -> DataFrame:
+def by_falling_doc(docs: DataFrame, marked: DataFrame, batches: int) -> list[DataFrame]:
+    """marked in at most so many batches, written once; every document of a batch is above all of the next one's."""
+    spark = docs.sparkSession
+    shares = [i / batches for i in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000).alias("cuts")).first()["cuts"]
+    batch = sum(((F.col("doc") < cut).cast("int") for cut in sorted(set(cuts or []))), F.lit(0))
+    path = new_path(spark, "line-marks")
+    marked.withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+    stored = spark.read.schema(f"{marked._jdf.schema().toDDL()}, batch int").parquet(path)
+    there = sorted(r["batch"] for r in stored.select("batch").distinct().collect())
+    return [stored.where(F.col("batch") == i).drop("batch") for i in there]
+
+
+def without_repeated_lines(
+    docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = BATCHES, fanout: int = FANOUT
+) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped of every row.
 
     Lines whose key is long enough and found in least_docs documents stay only in the largest doc_id that holds them.
     A null or empty text is one empty line; rows with the same doc_id are documents of their own, and all stay if theirs
     is the largest; a null doc_id is below all others; an empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    marked = materialize(line_hashes(docs, least_chars), "line-marks")
-    runs = LineRuns(spark, batches)
-    for batch in range(batches):
-        runs.add(marked.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch))
-    common = runs.counted().where(F.col("n_docs") >= least_docs)
+    runs = LineRuns(docs.sparkSession, fanout)
+    parts = by_falling_doc(docs, line_hashes(docs, least_chars), batches)
+    for part in parts:
+        runs.add(part)
+    rows = positioned(docs)
+    if not parts:
+        return rest_of(rows.withColumn("gone", F.lit(None).cast("array<int>")))
+    common = materialize(runs.counted().where(F.col("n_docs") >= least_docs), "common-lines")
+    runs.forget()
+    marked = parts[0]
+    for part in parts[1:]:
+        marked = marked.unionByName(part)
     lines = marked.select("doc", "text_hash", F.explode("marks").alias("x")).select("doc", "text_hash", "x.*")
     gone = lines.join(common, ["h1", "h2"]).where("doc <> last_doc")
     gone = gone.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("gone"))
-    rows = docs.select(
+    return rest_of(rows.join(gone, ["doc", "text_hash"], "left"))
+
+
+def positioned(docs: DataFrame) -> DataFrame:
+    return docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"),
         F.xxhash64(text_of()).alias("text_hash"),
         F.split(text_of(), "\n").alias("lines"),
     )
-    rows = rows.join(gone, ["doc", "text_hash"], "left")
+
+
+def rest_of(rows: DataFrame) -> DataFrame:
+    """doc_id, kept_text, n_lines, n_dropped of rows whose lines at the places in `gone` go."""
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.transform(left, lambda i: F.get("lines", i))
     return rows.select(

@@ -479,14 +479,65 @@ def test_line_runs_batch_by_batch(spark):
         return lines.line_hashes(spark.createDataFrame(rows, "doc_id long, text string"), 5)
 
     runs = lines.LineRuns(spark, fanout=2)
-    first, second = batch([(1, "alpha alpha\nbeta beta"), (2, "alpha alpha")]), batch([(3, "ALPHA alpha \ngamma gamma")])
-    assert runs.unseen(first).count() == 3
-    runs.add(first)
-    assert [r["pos"] for r in runs.unseen(second).collect()] == [1]
-    for part in (second, batch([(4, "delta delta")]), batch([(5, "alpha alpha")])):
-        runs.add(part)
+    third = batch([(4, "ALPHA alpha \ngamma gamma")])
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.add(batch([(6, "alpha alpha\nbeta beta"), (5, "alpha alpha")])).collect()) == [(1, 6), (2, 6)]
+    assert [r["last_doc"] for r in runs.unseen(lines.as_run(third)).collect()] == [4]
+    assert [r["last_doc"] for r in runs.add(third).collect()] == [4]
+    for rows in ([(3, "delta delta")], [(2, "alpha alpha")]):
+        runs.add(batch(rows))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.counted().collect()) == [(1, 1), (1, 3), (1, 4), (4, 5)]
+    assert sorted((r["n_docs"], r["last_doc"]) for r in runs.counted().collect()) == [(1, 3), (1, 4), (1, 6), (4, 6)]
+    runs.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (3, 5), (7, 2)])
+def test_lines_are_the_same_for_any_batches(spark, place, batches, fanout):
+    def rows(**options):
+        found = lines.without_repeated_lines(common.documents(spark, place), **options)
+        return sorted(map(tuple, found.collect()), key=repr)
+
+    assert rows(batches=batches, fanout=fanout) == rows()
+
+
+def test_run_joins_move_no_run(spark):
+    rows = spark.createDataFrame([(i, f"line {i % 50}") for i in range(300)], "doc_id long, text string")
+    runs = lines.LineRuns(spark, fanout=9)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for low in (200, 100, 0):
+            runs.add(lines.line_hashes(rows.where(f"doc_id >= {low} and doc_id < {low + 100}"), 3))
+        plan = runs.unseen(runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        runs.forget()
+
+
+@pytest.mark.parametrize("shape", ["rising", "shuffled", "tree"])
+def test_components_of_long_chains_in_few_rounds(spark, shape, monkeypatch):
+    n, rng = 1000, np.random.default_rng(5)
+    if shape == "tree":
+        pairs = [(int(rng.integers(max(0, i - 4), i)), i) for i in range(1, n) if i % 97]
+    else:
+        order = list(range(n)) if shape == "rising" else rng.permutation(n).tolist()
+        pairs = list(zip(order, order[1:]))
+    names, real = [], nearcopies.materialize
+    monkeypatch.setattr(nearcopies, "materialize", lambda df, name: (names.append(name), real(df, name))[1])
+    found = {r["node"]: r["root"] for r in nearcopies.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        root[high] = low
+    assert found == {x: top(x) for x in {y for pair in pairs for y in pair}}
+    assert names.count("roots") <= 10 and (shape != "rising" or names.count("moves") <= 15)
 
 
 def test_pipeline_stages(spark, some):
