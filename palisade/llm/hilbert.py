@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from palisade.llm.common import numbered, text_of, whole_rows
-from palisade.session import checked_broadcast
+from palisade.session import checked_broadcast, new_path
 
 BITS = 5
+#: Bounds of up to so many runs are broadcast to prune by; more of them are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -93,3 +95,77 @@ def sharded(
     ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div {max(1, n)} as int)"))
     first = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
     return ranked.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank", "_id0")
+
+
+class ShardFiles:
+    """Rows stored along the curve: folders of shards, each cut into runs (numbered through), and the bounds of every run.
+
+    A run holds a stretch of the curve, hence a small box of each dimension. Bounds are the least and largest value of
+    every dimension in a run, texts compared by their bytes, and the number of nulls; one row per run, kept as a table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def rows(self) -> DataFrame:
+        """All stored rows (_row: all columns of the input), with size, index, slot, shard and run."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/rows")
+
+    def bounds(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/bounds")
+
+    def runs_for(self, ranges: dict[str, tuple]) -> DataFrame:
+        """(shard, run) of the runs whose bounds meet every range (low, high), both ends included, None for open."""
+        met = F.lit(True)
+        for name, (low, high) in ranges.items():
+            if low is not None:
+                met = met & (F.col(f"max_{name}") >= F.lit(low))
+            if high is not None:
+                met = met & (F.col(f"min_{name}") <= F.lit(high))
+        return self.bounds().where(met).select("shard", "run")
+
+    def where(self, ranges: dict[str, tuple]) -> DataFrame:
+        """The stored rows inside all ranges; only folders of runs whose bounds meet them are read.
+
+        A null is inside no range. The runs are joined by the folders' column, so Spark prunes folders while it runs.
+        """
+        rows = self.rows()
+        inside = F.lit(True)
+        for name, (low, high) in ranges.items():
+            value = F.col("size") if name == "size" else F.col(f"_row.{name}").cast("string")
+            inside = inside & value.isNotNull()
+            if low is not None:
+                inside = inside & (value >= F.lit(low))
+            if high is not None:
+                inside = inside & (value <= F.lit(high))
+        runs = self.runs_for(ranges).select("run")  # a plain filter of the bounds, which Spark can prune by
+        if self.bounds().count() <= MOST_BROADCAST:
+            runs = F.broadcast(runs)
+        return rows.join(runs, "run", "left_semi").where(inside)
+
+
+def store_shards(
+    docs: DataFrame, path: str | None = None, shards: int = 8, runs: int = 16, names: tuple[str, str] = ("source", "lang")
+) -> ShardFiles:
+    """Write every row under shard and run folders (a shard's rows in runs of at most one row's difference).
+
+    Name columns that the input lacks have no bounds. An empty table stores no rows and no bounds; nulls and repeated
+    rows are stored like others.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "shards")
+    placed = sharded(docs, shards, names).drop("crc")
+    ends = placed.groupBy("shard").agg(F.count("*").alias("_rows"))
+    placed = placed.join(F.broadcast(ends), "shard")  # a row per shard
+    placed = placed.withColumn("run", F.expr(f"cast(shard * {runs} + slot * {runs} div _rows as int)")).drop("_rows")
+    cells = placed.repartition(F.col("shard"), F.col("run")).sortWithinPartitions("shard", "run", "slot")
+    cells.write.partitionBy("shard", "run").parquet(f"{path}/rows")
+    stored = ShardFiles(spark, path, placed.schema)
+    kinds = {"size": F.col("size")}
+    kinds |= {n: F.col(f"_row.{n}").cast("string") for n in names if n in docs.columns}
+    bounds = []
+    for name, value in kinds.items():
+        bounds += [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}")]
+        bounds += [F.count_if(value.isNull()).alias(f"nulls_{name}")]
+    stored.rows().groupBy("shard", "run").agg(F.count("*").alias("n_rows"), *bounds).write.parquet(f"{path}/bounds")
+    return stored

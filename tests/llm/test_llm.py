@@ -474,6 +474,42 @@ def test_marginals_are_probabilities():
     assert max(sum(p[k].sum() for k in range(len(c.end)) if c.begin[k] <= x < c.end[k]) for x in points) <= 1 + 1e-9
 
 
+def files_read(collected):
+    """How many files the scans of a collected query opened."""
+    plan = collected._jdf.queryExecution().executedPlan().executedPlan()
+    leaves = (plan.plan() if plan.nodeName() == "ResultQueryStage" else plan).collectLeaves()
+    metrics = [leaves.apply(i).metrics() for i in range(leaves.size())]
+    return sum(m.apply("numFiles").value() for m in metrics if m.contains("numFiles"))
+
+
+def test_shard_files_skip_what_two_ranges_exclude(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stored = hilbert.store_shards(docs, shards=4, runs=8)
+    names = sorted(r[0] for r in docs.select("source").distinct().collect() if r[0] is not None)
+    ranges = {"source": (names[0], names[0]), "size": (1, 400)}
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    want = docs.where((F.col("source") == names[0]) & (size <= 400)).select("doc_id", "text")
+    got = stored.where(ranges).select("_row.doc_id", "_row.text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() > 0
+    total, left = stored.bounds().count(), [stored.runs_for(x).count() for x in (ranges, {"size": (1, 400)})]
+    assert total == 32 and left[0] < left[1] < total and left[0] <= total / 3
+    assert files_read(got) == left[0]
+    counts = [r["n_rows"] for r in stored.bounds().collect()]
+    assert sum(counts) == docs.count() and max(counts) - min(counts) <= 1
+
+
+def test_shard_files_of_awkward_rows(spark):
+    schema = "doc_id long, text string, source string, size int, shard string"
+    rows = [(1, None, None, 5, "x"), (1, None, None, 5, "x"), (None, "a", "s", None, None), (2, "b" * 300, "t", 1, "y")]
+    stored = hilbert.store_shards(spark.createDataFrame(rows, schema), shards=2, runs=2)
+    assert stored.rows().count() == 4 and stored.where({}).count() == 4
+    assert [r["_row"]["shard"] for r in stored.where({"source": ("t", None)}).collect()] == ["y"]
+    assert stored.where({"source": (None, "zz"), "size": (2, 2)}).count() == 1
+    empty = hilbert.store_shards(spark.createDataFrame([], schema))
+    assert empty.bounds().count() == empty.where({"size": (0, 9)}).count() == 0
+
+
 def test_line_runs_batch_by_batch(spark):
     def batch(rows):
         return lines.line_hashes(spark.createDataFrame(rows, "doc_id long, text string"), 5)
