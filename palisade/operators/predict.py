@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.session import materialize
 
@@ -9,6 +10,10 @@ CONTEXT = 2
 MIN_SUPPORT = 5
 # Smallest probability that enters the log loss.
 FLOOR = 1e-7
+#: A context with at least this share of its length's events is hot: there are at most 1 / HOT_SHARE of a length.
+HOT_SHARE = 0.005
+#: Up to so many contexts the whole model is broadcast; beyond, only its hot ones are. The result is the same.
+BROADCAST_CONTEXTS = 100_000
 
 
 def transitions(recent: DataFrame, context: int = CONTEXT) -> DataFrame:
@@ -51,18 +56,41 @@ def fit(recent: DataFrame, context: int = CONTEXT) -> DataFrame:
     return materialize(probabilities(transitions(recent, context)), "next-event-model")
 
 
+def _looked_up(rows: DataFrame, tier: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """rows with _p{k} of their context _c{k}, from tier (at most one row per context)."""
+    key, value = f"_c{k}", f"_p{k}"
+    contexts = model.filter("is_best").select(F.col("context").alias("_hot"), "support")
+    least = contexts.agg(F.sum("support") * HOT_SHARE).scalar()
+    often = contexts.filter(F.col("support") >= least).select("_hot")
+    often = often.join(tier.withColumnRenamed(key, "_tier"), often["_hot"] == F.col("_tier"), "left").drop("_tier")
+    rows = rows.join(F.broadcast(often.withColumnRenamed(value, "_often")), rows[key] == F.col("_hot"), "left")
+    # hot rows, and rows without this context, get a key of their own that no context has
+    plain = [f.name for f in rows.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    alone = F.array(F.lit("\0"), F.xxhash64("recent_events", *plain).cast("string"))
+    rows = rows.withColumn(key, F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(alone))
+    rows = rows.join(tier.withColumnRenamed(value, "_rest"), key, "left")
+    return rows.withColumn(value, F.coalesce("_often", "_rest")).drop("_hot", "_often", "_rest")
+
+
 def predict(recent: DataFrame, model: DataFrame, context: int = CONTEXT, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Add predicted_next_attack, confidence (4 decimals), probability and context_length from the longest
-    context seen at least `min_support` times."""
+    context seen at least `min_support` times.
+
+    A model beyond BROADCAST_CONTEXTS is joined by shuffle, but for its hot contexts, a bounded number: rows that end in
+    one find it by broadcast and take no part in that join, so none of its keys holds more than a small share of the rows.
+    """
     best = model.filter(F.col("is_best") & (F.col("support") >= min_support))
     seq, n = F.col("recent_events"), F.size("recent_events")
+    small = model.filter("is_best").count() <= BROADCAST_CONTEXTS
     rows, tiers = recent, []
     for k in range(context, -1, -1):
         entry = F.struct(F.col("next_event").alias("event"), "probability", "length")
         tier = best.filter(F.col("length") == k).select(F.col("context").alias(f"_c{k}"), entry.alias(f"_p{k}"))
         rows = rows.withColumn(f"_c{k}", F.when(n >= k, F.slice(seq, n - k + 1, F.lit(k))))
-        # without context there is one best event, and every row shares the key: never a shuffle
-        rows = rows.join(F.broadcast(tier) if k == 0 else tier, f"_c{k}", "left")
+        if k == 0 or small:  # without context there is one best event, and every row shares the key
+            rows = rows.join(F.broadcast(tier), f"_c{k}", "left")
+        else:
+            rows = _looked_up(rows, tier, model.filter(F.col("length") == k), k)
         tiers.append(F.col(f"_p{k}"))
     rows = rows.withColumn("_p", F.coalesce(*tiers))
     return rows.withColumns(

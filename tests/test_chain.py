@@ -207,3 +207,20 @@ def test_recent_predictions_cut_before_filtering(spark):
     assert [(r["log_id"], r["triggered_by"], r["ip"], r["confidence"]) for r in got] == [
         (30, "e v", "unknown IP", "50.0%"), (20, "e v", "unknown IP", "50.0%"),
     ]
+
+
+def test_large_models_are_joined_without_hot_keys(spark, monkeypatch):
+    rows = [(i, ["a", "b"] if i % 3 else [f"x{i % 40}", f"y{i % 7}"]) for i in range(900)]
+    rows += [(i, e) for i, e in enumerate([[], None, ["b"], ["a", "b", "new"], ["\0", "b"]], 1000)]
+    recent = spark.createDataFrame(rows, "log_id long, recent_events array<string>")
+    model = P.fit(recent)
+
+    def found():
+        names = ["log_id", "predicted_next_attack", "confidence", "context_length"]
+        return sorted(map(tuple, P.predict(recent, model, min_support=2).select(*names).collect()))
+
+    want = found()
+    monkeypatch.setattr(P, "BROADCAST_CONTEXTS", 0)
+    assert len(want) == len(rows) and found() == want
+    monkeypatch.setattr(P, "HOT_SHARE", 2)
+    assert found() == want
