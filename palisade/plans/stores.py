@@ -196,9 +196,8 @@ def mapping_files(spark, sf_dir) -> DataFrame:
 def sequence_files(spark, sf_dir) -> DataFrame:
     """Training windows and their facts written and read back; the facts have to match the windows."""
     made, classes = sequences.dataset(network_flows(spark, sf_dir))
-    made = materialize(made, "windows")
     path = new_path(spark, "sequences")
-    files.write_sequences(made, sequences.metadata(made, classes), path)
+    files.write_sequences(made, lambda written: sequences.metadata(written, classes), path)
     read, facts = files.read_sequences(spark, path)
     if (facts["sequence_length"], facts["dataset_size"]) != (fixed.SEQUENCE_LENGTH, read.count()):
         raise ValueError(f"windows do not match their metadata: {facts}")

@@ -136,3 +136,17 @@ def test_durable_dir_follows_the_session():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         durable_dir(fake({}))
     assert durable_dir(fake({}, master="local[2]")) == durable_dir(fake({}, master="local[2]"))
+
+
+def test_facts_are_taken_of_the_written_sequences(spark, tmp_path):
+    made = spark.range(7).selectExpr("cast(id as int) as y")
+    seen = []
+
+    def facts(written):
+        seen.append(written.inputFiles())
+        return written.selectExpr("count(*) as dataset_size", "max(y) as top")
+
+    files.write_sequences(made, facts, str(tmp_path / "s"))
+    read, found = files.read_sequences(spark, str(tmp_path / "s"))
+    assert found == {"dataset_size": 7, "top": 6} and read.count() == 7
+    assert seen[0] and all("/s/windows/" in f for f in seen[0])

@@ -96,3 +96,16 @@ def test_stratified_split_is_exact(spark):
 def test_split_digits():
     assert split_digits(1000) == 2
     assert 100_000_000_000 / 16 ** split_digits(100_000_000_000) <= 100_000
+
+
+def test_row_number_of_hot_keys_needs_no_window(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, key string, ts double, kind string").repartition(5)
+    slices = ordered.SlicedOrder("key", ["ts", "id"])
+    numbered = slices.row_number(slices.prepare(df), "n")
+    assert "Window" not in numbered._jdf.queryExecution().executedPlan().toString()
+    got = by_heat(df, "key", ["ts", "id"], lambda r, w: w.row_number(r, "n"), limit=500)
+    place, want = defaultdict(int), {}
+    for i, key, ts, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        place[key] += 1
+        want[i] = place[key]
+    assert {r["id"]: r["n"] for r in numbered.collect()} == {r["id"]: r["n"] for r in got.collect()} == want
