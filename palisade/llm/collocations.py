@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import as_bytes, mix, packed, text_of, unpacked
+from palisade.llm.common import mix, packed, text_of, unpacked
 from palisade.session import materialize
 
 SUPPORT, LONGEST = 30, 4
@@ -52,17 +52,30 @@ def _cut(text: bytes, limit: int) -> Iterator[bytes]:
 def occurrences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """chunk, lang, n_words, words (distinct, most frequent first), of (place to 1 + number of its word, 0 at an end)."""
 
-    def relation(chunk: int, lang: str, parts: list[bytes]) -> tuple[list, bool]:
-        tokens = pa.array(b"\n".join(parts).replace(b"\n", b" \n ").split(b" "), pa.binary()).dictionary_encode()
-        words = tokens.dictionary.to_pylist()
-        code, counts = tokens.indices.to_numpy(), np.bincount(tokens.indices.to_numpy(), minlength=len(words))
-        kind = np.array([0 if w == b"" else 1 if w == b"\n" else 2 for w in words])
-        order = np.flatnonzero(kind == 2)
-        order = order[np.argsort(-counts[order], kind="stable")]
-        number = np.zeros(len(words), np.int64)
+    def relation(chunk: int, lang: str, parts: list[bytes]) -> tuple[list[pa.Array], bool]:
+        # arrays only: a Python object per word would take several times the block's bytes
+        data = np.frombuffer(b"\n".join(parts), np.uint8)
+        parts.clear()
+        inside, ends = (data != 0x20) & (data != 0x0A), np.flatnonzero(data == 0x0A).astype(np.int32)
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False)).astype(np.int32)
+        start, n_places = edge[0::2], len(edge) // 2 + len(ends)
+        place = np.searchsorted(ends, start).astype(np.int32) + np.arange(len(start), dtype=np.int32)
+        offsets = np.zeros(len(start) + 1, np.int32)
+        np.cumsum(edge[1::2] - start, out=offsets[1:])
+        letters = data[inside]
+        del data, inside, ends, edge, start
+        tokens = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        tokens = tokens.dictionary_encode()
+        code, words = tokens.indices.to_numpy(), tokens.dictionary
+        del tokens, offsets, letters
+        order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
+        number = np.empty(len(words), np.int64)
         number[order] = np.arange(1, len(order) + 1)
-        of = number[code[kind[code] > 0]]
-        return [[chunk], [lang], [int(counts[order].sum())], [[words[i] for i in order]], [packed(of)]], len(order) > 0
+        of = np.zeros(n_places, np.int64)
+        of[place] = number[code]
+        words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.take(pa.array(order)))
+        few = [pa.array([v], f.type) for v, f in zip((chunk, lang, len(code)), layout)]
+        return [*few, words, pa.array([packed(of)], pa.binary())], len(order) > 0
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -75,10 +88,11 @@ def occurrences(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             sizes.pop(lang)
             if some:
                 chunk += 1
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, layout)], schema=layout)
+                yield pa.record_batch(columns, schema=layout)
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for lang, text in zip(*batch.columns):  # one text at a time, as a batch may hold many
+                lang, text = lang.as_py(), text.cast(pa.binary()).as_py() or b""
                 for part in _cut(text.translate(_LOWER), block):
                     if lang in held and sizes[lang] + len(part) > block:
                         yield from emit(lang)
@@ -154,7 +168,7 @@ def frequent_words(relation: DataFrame, ranges: int, support: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, lang, words, of in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for chunk, lang, words, of in (tuple(x.as_py() for x in row) for row in zip(*batch.columns)):
                 n = np.bincount(unpacked(of), minlength=len(words) + 1)[1:]
                 order, part = _by_range(words, ranges)
                 found = [
@@ -190,7 +204,7 @@ def frequent_joins(relation: DataFrame, ranges: int, support: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, of, names in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for chunk, of, names in (tuple(x.as_py() for x in row) for row in zip(*batch.columns)):
                 _, _, part, prefix, rest, n = _join(unpacked(of), unpacked(names), ranges)
                 found = [(p, chunk, *(packed(x[at]) for x in (prefix, rest, n))) for p, at in _ranges(part)]
                 if found:

@@ -2,10 +2,13 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +148,23 @@ def test_collocations_without_lang(spark):
     assert [tuple(r) for r in got] == [("und", "a b", 2, 4)]
 
 
+def test_a_block_takes_no_object_per_word(spark, monkeypatch):
+    """Executors hold several blocks at once, so a block's peak must stay near its bytes."""
+    table = spark.createDataFrame([], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, function, schema: function)
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    blocks = collocations.occurrences(table)
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i:04d}" for i in rng.integers(0, 3000, 500_000))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    tracemalloc.start()
+    rows = list(blocks(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(r["n_words"][0].as_py() for r in rows) == 500_000
+    assert peak < 8 * len(text)
+
+
 # --- toxicity
 
 
