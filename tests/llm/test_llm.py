@@ -117,6 +117,64 @@ def test_training_order_repeats_whole_documents(spark, odd):
     assert max(most.values()) <= 4 and 3 not in most  # doc 6 is there twice
 
 
+def brute_times(rows, share=1.5, times=2):
+    """(time, index of the row) of every copy in the mix, rows alike in source, hash and size by their other columns."""
+    words = [len(WORD.findall(r["text"] or "")) for r in rows]
+    by_source = defaultdict(list)
+    for i, r in enumerate(rows):
+        by_source[r["source"]].append(i)
+    names = sorted((s for s in by_source if s is not None), key=lambda s: s.encode()) + [None] * (None in by_source)
+    kind = {s: k % 3 for k, s in enumerate(names)}
+    weight = {s: mixing.area(mixing.SCHEDULES[kind[s]]) for s in names}
+    size = {s: sum(words[i] for i in by_source[s]) for s in names}
+    target, left, free = {}, share * sum(size.values()), set(names)
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) >= times * size[s]]:
+        for s in over:
+            target[s] = times * size[s]
+            left -= target[s]
+            free.discard(s)
+    for s in free:
+        target[s] = left * weight[s] / sum(weight[x] for x in free)
+    out = []
+    for s in names:
+        (_, w0), (_, w1) = mixing.SCHEDULES[kind[s]]
+        own = sorted(by_source[s], key=lambda i: (hashlib.md5(f"{'' if rows[i]['doc_id'] is None else rows[i]['doc_id']}|0".encode()).hexdigest(), words[i], str(rows[i])))
+        done = 0
+        for i in own * times:
+            if words[i] and done < math.floor(target[s]):
+                x = done / target[s] * weight[s]
+                out.append((2 * x / (w0 + math.sqrt(w0 * w0 + 2 * (w1 - w0) * x)), i))
+            done += words[i]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("per_range, per_slice", [(2_000, 20_000), (3, 20_000), (1, 5)])
+def test_training_order_is_exact_across_ranges(spark, some, monkeypatch, per_range, per_slice):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", per_range)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", per_slice)
+    base = [r.asDict() for r in common.documents(spark, some).collect()]
+    for r in base:
+        r["source"] = f"s{r['doc_id'] % 4}" if r["doc_id"] % 9 else None
+    plain = [r | {"doc_id": None, "text": f"alike {r['doc_id'] % 5}"} for r in base[:60]]  # one hash and one size, few texts
+    rows = base + base[:40] * 3 + plain + plain + [base[0] | {"text": None}, base[1] | {"text": " "}]
+    docs = spark.createDataFrame([tuple(r.values()) for r in rows], common.documents(spark, some).schema).repartition(5)
+    out = [r.asDict() for r in mixing.training_order(docs).collect()]
+    want = brute_times(rows)
+    alike = lambda r: (r["source"] or "", r["doc_id"] or 0, len((r["text"] or "").split()))
+    assert Counter(map(alike, out)) == Counter(alike(rows[i]) for _, i in want)
+    assert Counter(str(r) for r in out if r["doc_id"] is not None) == Counter(str(rows[i]) for _, i in want if rows[i]["doc_id"] is not None)
+    for source in (None, "s0", "s1", "s2", "s3"):
+        assert [alike(r) for r in out if r["source"] == source] == [alike(rows[i]) for _, i in want if rows[i]["source"] == source]
+    cuts = [0, *(k for k in range(1, len(want)) if want[k][0] - want[k - 1][0] > 1e-9), len(want)]
+    for low, high in zip(cuts, cuts[1:]):  # runs of one time
+        assert Counter(map(alike, out[low:high])) == Counter(alike(rows[i]) for _, i in want[low:high])
+
+
+def test_training_order_shuffles_whole_rows_once(spark, some):
+    text = mixing.training_order(common.documents(spark, some))._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"\bExchange (\w+)", text) == ["rangepartitioning"]
+
+
 def test_time_inverts_demand(spark):
     kinks = [[(0.0, 1.0), (0.5, 3.0), (1.0, 0.0)]]
     done = spark.range(0, 100).select(F.col("id").cast("double").alias("c"))
