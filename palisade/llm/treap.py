@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import as_bytes, numbered, packed, text_of, unpacked
-from palisade.session import materialize
+from palisade.llm.common import as_bytes, numbered, packed, stored, text_of, unpacked
+from palisade.session import LARGE_ROWS, materialize
 
 #: A range ends with the document that brings it to so many postings.
 POSTINGS = 1_000_000
@@ -36,7 +36,7 @@ STEP = 64
 _SLICE = 1 << 22
 _KEPT = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _TERMS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEPT else 0x20 for c in range(256))
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.int8)
 
 
 def terms(text: bytes) -> Iterator[list[bytes]]:
@@ -93,24 +93,30 @@ class Treap:
     """A stored treap with its bit counts, ready to be searched."""
 
     def __init__(self, height: np.ndarray, masks: np.ndarray, falls: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-        self.height, self.mask, self.rows, self.cols = int(height[0]), masks, rows, cols
-        quarters = _BITS[masks]
-        self.child = 1 + np.cumsum(quarters) - quarters
-        alone = masks == 0
-        self.posting = np.where(alone, np.cumsum(alone) - 1, 0)
-        self.top = np.zeros(len(masks) + 1, np.int64)  # the last one stands for no cell
+        # a range has fewer than 2**31 cells and impacts below 1,000,000, so half the usual width holds them
+        self.height, self.mask = int(height[0]), masks.astype(np.uint8)
+        self.rows, self.cols = rows.astype(np.uint32), cols.astype(np.uint32)
+        quarters = _BITS[self.mask]
+        self.child = np.cumsum(quarters, dtype=np.int32)
+        self.child -= quarters
+        self.child += 1
+        alone = self.mask == 0
+        self.posting = np.cumsum(alone, dtype=np.int32)
+        self.posting -= 1
+        self.posting[~alone] = 0
+        self.top = np.zeros(len(masks) + 1, np.int32)  # the last one stands for no cell
         self.top[0] = falls[0]
-        parent = np.repeat(np.arange(len(masks)), quarters)
         begin, end = 0, 1
         while end < len(masks):
-            begin, end = end, int(1 + quarters[:end].sum())
-            self.top[begin:end] = self.top[parent[begin - 1 : end - 1]] - falls[begin:end]
+            above = self.top[begin:end].repeat(quarters[begin:end])
+            begin, end = end, end + len(above)
+            np.subtract(above, falls[begin:end], out=self.top[begin:end], casting="unsafe")
 
     def _below(self, cells: np.ndarray, rows: np.ndarray, depth: np.ndarray, block: np.ndarray, half: int) -> np.ndarray:
         """The cells that the rows meet in one half of each block; -1 where a row has no posting there."""
         shift = (self.height - 1 - depth)[:, None]
         quarter = ((rows[None, :] >> shift) & 1) * 2 + half
-        mask = self.mask[cells]
+        mask = self.mask[cells].astype(np.int64)
         inner = np.where((mask >> quarter) & 1, self.child[cells] + _BITS[mask & ((1 << quarter) - 1)], -1)
         found = np.where((mask == 0) & (cells >= 0), cells, np.where(cells >= 0, inner, -1))
         single = (found >= 0) & (self.mask[found] == 0)
@@ -221,7 +227,7 @@ _PARTS = ("height", "masks", "falls", "rows", "cols")
 
 def index(docs: DataFrame, limit: int = POSTINGS) -> tuple[DataFrame, int, int]:
     """The treaps of all ranges as a written table, the number of documents with a term, and of all terms."""
-    counts = materialize(postings(docs, limit), "postings")
+    counts = materialize(postings(docs, limit), "postings", **LARGE_ROWS)
     n, total = counts.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n, total = n or 0, total or 0
 
@@ -239,7 +245,7 @@ def index(docs: DataFrame, limit: int = POSTINGS) -> tuple[DataFrame, int, int]:
     kinds = dict(counts.dtypes)
     schema = f"range long, doc_ids {kinds['doc_ids']}, terms array<binary>, df binary, " + ", ".join(f"{c} binary" for c in _PARTS)
     columns = ["range", "doc_ids", "terms", "rows", "cols", "tf", "lengths"]
-    return materialize(counts.select(*columns).mapInArrow(treaps, schema), "treaps"), n, total
+    return materialize(counts.select(*columns).mapInArrow(treaps, schema), "treaps", **LARGE_ROWS), n, total
 
 
 # --- the search
@@ -305,7 +311,7 @@ def _block_best(treaps: DataFrame, block: list, weights: dict[bytes, int], k: in
             for i in range(batch.num_rows):
                 ids = batch["doc_ids"][i].as_py()
                 row = pc.index_in(names, batch["terms"][i].values).fill_null(-1).to_numpy().astype(np.int64)
-                treap = Treap(*(unpacked(batch[c][i].as_py()) for c in _PARTS))
+                treap = Treap(*(stored(batch[c][i].as_py()) for c in _PARTS))
                 for rank, at, weighed in asked:
                     here = row[at] >= 0
                     if here.any():

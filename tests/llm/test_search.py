@@ -231,3 +231,29 @@ def test_texts_without_words_or_labels(spark):
     got = toxicity.toxicity(docs, spark.createDataFrame(both, marks)).collect()
     assert math.isclose(got[1]["score"], 1 / 3) and got[1]["score"] == got[2]["score"] == got[3]["score"]
     assert got[0]["score"] > got[4]["score"]
+
+
+def test_ranges_of_a_task_are_written_apart(spark, monkeypatch):
+    """A task may make any number of ranges of megabytes each: the writer and later readers hold a few of them at a time."""
+    import pyarrow.parquet as pq
+
+    from palisade.llm.common import stored
+    from palisade.session import LARGE_ROWS, materialize
+
+    asked = {}
+    monkeypatch.setattr(treap, "materialize", lambda df, name, **options: asked.update({name: options}) or materialize(df, name, **options))
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text")).coalesce(1)
+    assert treap.index(docs, limit=3)[0].count() == 6
+    assert asked == {"postings": LARGE_ROWS, "treaps": LARGE_ROWS}
+
+    def blobs(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                yield pa.record_batch({"blob": pa.array([np.random.default_rng(n).bytes(5_000_000)], pa.binary())})
+
+    table = materialize(spark.range(0, 12, 1, 1).mapInArrow(blobs, "blob binary"), "blobs", **LARGE_ROWS)
+    file = pq.ParquetFile(table.inputFiles()[0].removeprefix("file:")).metadata
+    assert file.num_rows == 12 and file.num_row_groups >= 3
+    made = treap.build(np.array([0, 1]), np.array([0, 1]), np.array([5, 7]))
+    tree = treap.Treap(**{k: stored(packed(v)) for k, v in made.items()})
+    assert tree.top.itemsize == tree.child.itemsize == 4 and tree.mask.itemsize == 1
